@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, packing, quality, secrets, simhash
 from .common import documents
 
 QUERIES = {
+    "op1_secret_scan": lambda spark, d: secrets.scan(documents(spark, d)),
     "op2_quality_rules": lambda spark, d: quality.digest(documents(spark, d)),
+    "op3_simhash": lambda spark, d: simhash.digest(documents(spark, d)),
+    "op9_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
+    "op10_packing": lambda spark, d: packing.packed(documents(spark, d)),
 }
 
-SQL = {"op2_quality_rules": quality.SQL}
+SQL = {"op2_quality_rules": quality.SQL, "op9_mixing": mixing.SQL}
