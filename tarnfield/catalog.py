@@ -2,5 +2,327 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as A
+from .operators import index, search, writes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return index.analyzed(table(spark, d, "documents"), "doc_id", ["text"])
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return index.analyzed(table(spark, d, "part"), "p_partkey", ["p_name", "p_brand", "p_type"])
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+TOKENS = r"""tok AS (SELECT doc_id, 'text' AS field, unnest(x) AS term, generate_subscripts(x, 1) AS pos, len(x) AS dl FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS x FROM documents))"""
+PART_TOKENS = " UNION ALL ".join(rf"SELECT p_partkey AS doc_id, '{f}' AS field, unnest(regexp_extract_all(lower({f}), '[\p{{L}}\p{{N}}]+')) AS term, len(regexp_extract_all(lower({f}), '[\p{{L}}\p{{N}}]+')) AS dl FROM part" for f in ("p_name", "p_brand", "p_type"))
+
+
+def bm25_sql(words: list[str], tail: str, tokens: str = TOKENS, term: str = "term") -> str:
+    """Common table expressions up to s (doc_id, field, term, idf, score), then tail."""
+    where = " OR ".join(f"term = '{w}'" for w in words) if term == "term" else term
+    name = "term" if term == "term" else "'*'"
+    return f"""WITH {tokens},
+dl AS (SELECT DISTINCT doc_id, field, dl FROM tok), st AS (SELECT field, count(*) AS n, sum(dl) AS total FROM dl GROUP BY field),
+p AS (SELECT doc_id, field, {name} AS term, count(*) AS tf, any_value(dl) AS dl FROM tok WHERE {where} GROUP BY doc_id, field, 3),
+df AS (SELECT field, term, count(*) AS df FROM p GROUP BY field, term),
+s AS (SELECT doc_id, field, term, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf, least(75, tf) * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (total / n)))) AS score FROM p JOIN df USING (field, term) JOIN st USING (field))
+{tail}"""
+
+
+WORDS = ["this", "and", "with"]
+
+
+@query(bm25_sql(WORDS, "SELECT doc_id, round(sum(score), 6) AS score FROM s GROUP BY doc_id ORDER BY sum(score) DESC, doc_id LIMIT 10"))
+def bm25_or_topk(spark, d):
+    return rounded(search.match(texts(spark, d), WORDS).orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score"), "score")
+
+
+@query(bm25_sql(WORDS, "SELECT doc_id, round(sum(score), 6) AS score, count(DISTINCT term) AS matched FROM s GROUP BY doc_id"))
+def bm25_wand_all(spark, d):
+    return rounded(search.match(texts(spark, d), WORDS), "score")
+
+
+@query(bm25_sql(WORDS, "SELECT doc_id, round(sum(score), 6) AS score, count(DISTINCT term) AS matched FROM s GROUP BY doc_id HAVING count(DISTINCT term) = 3"))
+def bm25_and(spark, d):
+    return rounded(search.match(texts(spark, d), WORDS, "and"), "score")
+
+
+@query(bm25_sql(WORDS, ", i AS (SELECT sum(idf) AS total FROM (SELECT DISTINCT term, idf FROM s)) SELECT doc_id, round(sum(score), 6) AS base, round(sum(idf) / any_value(total), 6) AS coverage, round(sum(score) * (sum(idf) / any_value(total)) * (sum(idf) / any_value(total)), 6) AS score FROM s, i GROUP BY doc_id"))
+def coverage_score(spark, d):
+    return rounded(search.coverage(texts(spark, d), WORDS), "base", "coverage", "score")
+
+
+@query(bm25_sql(["red", "economy"], "SELECT doc_id, round(sum(score), 6) AS score, count(DISTINCT term) AS matched FROM s GROUP BY doc_id HAVING count(DISTINCT term) = 2", f"tok AS ({PART_TOKENS})"))
+def cross_fields_and(spark, d):
+    return rounded(search.match(parts(spark, d), ["red", "economy"], "and"), "score")
+
+
+@query(bm25_sql(["red", "widget"], "SELECT doc_id, round(sum(x), 6) AS score, CAST(max(n) AS BIGINT) AS matched FROM (SELECT doc_id, field, sum(score) AS x, count(*) AS n FROM s GROUP BY doc_id, field HAVING count(*) = 2) GROUP BY doc_id", f"tok AS ({PART_TOKENS})"))
+def best_fields_and(spark, d):
+    return rounded(search.match(parts(spark, d), ["red", "widget"], "best"), "score")
+
+
+@query(f"WITH {TOKENS} SELECT a.doc_id, CAST(count(*) AS BIGINT) AS places FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id")
+def phrase_two_words(spark, d):
+    return search.phrase(texts(spark, d), ["of", "the"])
+
+
+PATTERN = "term IN (SELECT term FROM (SELECT term, count(DISTINCT doc_id) AS n FROM tok WHERE {} GROUP BY term ORDER BY n DESC, term LIMIT 128))"
+
+
+@query(bm25_sql([], "SELECT doc_id, round(sum(score), 6) AS score FROM s GROUP BY doc_id", term=PATTERN.format("starts_with(term, 'wi')")))
+def prefix_top_terms(spark, d):
+    return rounded(search.prefix(texts(spark, d), "wi"), "score")
+
+
+@query(bm25_sql([], "SELECT doc_id, round(sum(score), 6) AS score FROM s GROUP BY doc_id", term=PATTERN.format("regexp_matches(term, '^th.[es].*$')")))
+def wildcard_terms(spark, d):
+    return rounded(search.wildcard(texts(spark, d), "th?[es]*"), "score")
+
+
+@query(f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df, CAST(damerau_levenshtein(term, 'with') AS INT) AS edits FROM tok WHERE damerau_levenshtein(term, 'with') <= 1 GROUP BY term")
+def fuzzy_terms(spark, d):
+    return search.fuzzy_terms(index.terms(texts(spark, d)), "with").select("term", "df", "edits")
+
+
+@query()
+def did_you_mean(spark, d):
+    return search.did_you_mean(index.terms(texts(spark, d)), "wiht")
+
+
+SYN = {"this": 1.0, "that": 1.0, "these": 0.7}
+
+
+@query(f"""WITH {TOKENS}, st AS (SELECT count(*) AS n, sum(dl) AS total FROM (SELECT DISTINCT doc_id, dl FROM tok)),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM tok WHERE term IN ('this', 'that', 'these') GROUP BY doc_id, term),
+o AS (SELECT term, count(*) AS own FROM p GROUP BY term), df AS (SELECT term, greatest(own, coalesce((SELECT own FROM o WHERE term = 'this'), 0)) AS df FROM o)
+SELECT doc_id, round(max(CASE term WHEN 'these' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END * least(75, tf) * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (total / n))))), 6) AS score FROM p JOIN df USING (term), st GROUP BY doc_id""")
+def synonym_best_form(spark, d):
+    return rounded(search.synonyms(texts(spark, d), SYN), "score")
+
+
+@query()
+def proximity_density(spark, d):
+    return rounded(search.density(texts(spark, d), WORDS), "density")
+
+
+@query(f"WITH {TOKENS} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS docs FROM tok WHERE term IN ('this', 'and', 'with') GROUP BY term")
+def info_words(spark, d):
+    return index.postings(texts(spark, d), WORDS).groupBy("term").agg(F.sum("tf").cast("bigint").alias("occurrences"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"WITH {TOKENS} SELECT field, count(DISTINCT doc_id) AS doc_count, CAST(count(*) AS BIGINT) AS total_len FROM tok GROUP BY field")
+def field_stats(spark, d):
+    return index.stats(texts(spark, d))
+
+
+@query(f"WITH {TOKENS} SELECT field, term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT) AS occurrences FROM tok GROUP BY field, term")
+def term_dictionary(spark, d):
+    return index.terms(texts(spark, d))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') AS tokens FROM documents")
+def analyze_standard(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(A.standard(F.col("text")), " ").alias("tokens"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), ' ') AS tokens FROM documents")
+def analyze_whitespace(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(A.whitespace(F.col("text")), " ").alias("tokens"))
+
+
+@query("SELECT p_partkey, lower(p_name) AS token FROM part")
+def analyze_keyword(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.explode(A.keyword(F.col("p_name"))).alias("token"))
+
+
+@query(r"SELECT doc_id, len(list_filter(list_filter(x, lambda t: NOT t IN ('the', 'of', 'de')), lambda t: length(t) <= 12 AND (length(t) >= 3 OR regexp_matches(t, '^[0-9]+$')))) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS x FROM documents)")
+def token_filters(spark, d):
+    tokens = A.length_filter(A.stop_filter(A.standard(F.col("text")), ["the", "of", "de"]), 3, 12)
+    return table(spark, d, "documents").select("doc_id", F.size(tokens).cast("bigint").alias("n"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', '  ', 'g'), '(?s)<[^>]*$', ' ') AS plain FROM pages")
+def html_strip_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", A.html_strip(F.col("html")).alias("plain"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#*_`~>]', '', 'g'), ' ') AS plain FROM documents")
+def markdown_strip_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", A.markdown_strip(F.col("text")).alias("plain"))
+
+
+@query()
+def url_tokens_pages(spark, d):
+    from .functions.words import url_tokens
+
+    def run(batches):
+        for pdf in batches:
+            pdf["tokens"] = [" ".join(url_tokens(u)) if u else "" for u in pdf["url"]]
+            yield pdf[["page_id", "tokens"]]
+
+    return table(spark, d, "pages").select("page_id", "url").mapInPandas(run, "page_id long, tokens string")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderkey >= 100")
+def filter_range_orders(spark, d):
+    return table(spark, d, "orders").where("o_totalprice BETWEEN 1000 AND 50000 AND o_orderkey >= 100").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'")
+def filter_date_lineitem(spark, d):
+    return table(spark, d, "lineitem").where("l_shipdate >= timestamp '1996-01-01' AND l_shipdate < timestamp '1997-01-01'").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'red')")
+def filter_prefix_part(spark, d):
+    return table(spark, d, "part").where(F.lower("p_name").startswith("red")).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE regexp_matches(lower(p_brand), '^brand.1[0-5]$')")
+def filter_wildcard_part(spark, d):
+    return table(spark, d, "part").where(F.lower("p_brand").rlike(A.wildcard_regex("brand?1[0-5]"))).select("p_partkey", "p_brand")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE lower(trim(n_name)) = 'nation_7'")
+def exact_match_nation(spark, d):
+    return table(spark, d, "nation").where(F.lower(F.trim("n_name")) == "nation_7").select("n_nationkey", "n_name")
+
+
+@query("SELECT doc_id, toxic = 1 AS toxic FROM labels WHERE (toxic = 1) AND NOT (quality = 0)")
+def filter_bool_labels(spark, d):
+    df = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"), (F.col("quality") == 1).alias("good"))
+    return df.where("toxic AND good").select("doc_id", "toxic")
+
+
+@query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents ORDER BY doc_id LIMIT 10")
+def match_all_first10(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.lit(0.0).alias("score")).orderBy("doc_id").limit(10)
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
+def strict_sort_two_fields(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy(F.asc_nulls_last("o_orderpriority"), F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(50)
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 20 OFFSET 40")
+def offset_page(spark, d):
+    return table(spark, d, "customer").orderBy(F.desc_nulls_last("c_acctbal"), "c_custkey").offset(40).limit(20).select("c_custkey", "c_name")
+
+
+@query(bm25_sql(WORDS, ", h AS (SELECT doc_id, sum(score) AS score FROM s GROUP BY doc_id), g AS (SELECT doc_id, score, ln(1 + n_chars) AS v FROM h JOIN documents USING (doc_id)), b AS (SELECT min(v) AS lo, max(v) AS hi, max(score) AS top FROM g) SELECT doc_id, round(score / top * 60 + coalesce((v - lo) / (hi - lo), 0) * 40, 6) AS rank FROM g, b"))
+def blend_sort_log1p(spark, d):
+    lengths = table(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("v"))
+    return rounded(search.blend(search.match(texts(spark, d), WORDS).join(lengths, "doc_id"), "v"), "rank")
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40 AND l_returnflag = 'R')")
+def same_element_order_lines(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_returnflag")).alias("lines"))  # an order has a few lines
+    nested = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return nested.where(search.same_element("lines", lambda e: (e.l_quantity > 40) & (e.l_returnflag == "R"))).select("o_orderkey")
+
+
+DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+COSINE = f"{DOT} / ({NORM.format('a')} * {NORM.format('b')})"
+
+
+def _vector(spark, d):
+    return table(spark, d, "embeddings").orderBy("vec_id").first()["embedding"]
+
+
+@query(f"SELECT a.vec_id, round({COSINE}, 6) AS cosine FROM embeddings a, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) b ORDER BY {COSINE} DESC, a.vec_id LIMIT 20")
+def knn_exact(spark, d):
+    return rounded(search.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", _vector(spark, d), 20), "cosine")
+
+
+@query(f"SELECT a.vec_id, round({COSINE}, 6) AS cosine FROM embeddings a, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) b WHERE a.label = 1 ORDER BY {COSINE} DESC, a.vec_id LIMIT 20")
+def knn_filtered_label(spark, d):
+    return rounded(search.nearest(table(spark, d, "embeddings").where("label = 1"), "vec_id", "embedding", _vector(spark, d), 20), "cosine")
+
+
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 100), b AS (SELECT doc_id, row_number() OVER (ORDER BY -n_chars % 97 DESC, doc_id) AS r FROM documents QUALIFY r <= 100),
+u AS (SELECT doc_id, sum(1.0::DOUBLE / (10 + r)) AS part FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id) SELECT doc_id, round(part / (SELECT max(part) FROM u), 6) AS score FROM u""")
+def rrf_fuse(spark, d):
+    docs = table(spark, d, "documents")
+    lists = [docs.select("doc_id", F.col("n_chars").alias("score")), docs.select("doc_id", (-F.col("n_chars") % 97).alias("score"))]
+    return rounded(search.fuse(lists), "score")
+
+
+@query("SELECT o_custkey, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY o_custkey")
+def numeric_bounds(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+
+
+@query("SELECT key, count(*) AS documents FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+def all_fields_props(spark, d):
+    return table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("documents"))
+
+
+def _events(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def upsert_latest_wins(spark, d):
+    e = _events(spark, d)
+    return writes.upsert(e.where("event_id < 0"), e, "user_id", "event_id")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1")
+def insert_duplicate_failures(spark, d):
+    e = _events(spark, d)
+    return writes.insert(e.where("event_id < 0"), e, "user_id", "event_id")[1]
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def delete_anti(spark, d):
+    ids = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return writes.delete(table(spark, d, "customer").select("c_custkey", "c_name"), ids, "c_custkey")[0]
+
+
+@query("SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def replace_not_found(spark, d):
+    stored = table(spark, d, "customer").where("c_nationkey = 3").select("c_custkey")
+    batch = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return batch.join(stored, "c_custkey", "left_anti").distinct()
+
+
+@query("SELECT CAST(i.id AS BIGINT) AS p_partkey, i.ord, p_name, p_name IS NOT NULL AS found FROM (VALUES (5, 0), (-1, 1), (3, 2), (5, 3)) i(id, ord) LEFT JOIN part ON p_partkey = i.id")
+def lookup_not_found(spark, d):
+    ids = spark.createDataFrame([(5, 0), (-1, 1), (3, 2), (5, 3)], "p_partkey long, ord int")
+    return writes.retrieve(table(spark, d, "part").select("p_partkey", "p_name"), ids, "p_partkey", "ord")
+
+
+@query()
+def partial_replace_props(spark, d):
+    e = table(spark, d, "events").select("event_id", "props")
+    return writes.patch(e, e.select("event_id", F.lit('{"k": null, "seen": {"by": "patch"}}').alias("patch")), "event_id", "props")
