@@ -68,7 +68,7 @@ def build(rows: list[tuple], toxic: int, clean: int) -> Index:
     vocabulary = {t: i for i, t in enumerate(chosen)}
     idf = np.array([np.log(1 + n / sum(with_term[t])) for t in chosen])
     weight = np.where(y == 1, toxic / max(1, n1), clean / max(1, n0))
-    weight = weight / max(1e-9, weight.max())
+    weight = weight / weight.max(initial=1e-9)
     vecs = [vector(b, vocabulary, idf) for b in bags]
     none = np.array([not len(v[0]) for v in vecs], dtype=bool) if vecs else np.zeros(0, bool)
     prior = float(((y * weight)[none].sum() + 0.01) / (weight[none].sum() + 1.0)) if len(y) else 0.0
