@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_database
 from .functions import text as A
 from .operators import index, search, writes
 
@@ -326,3 +327,6 @@ def lookup_not_found(spark, d):
 def partial_replace_props(spark, d):
     e = table(spark, d, "events").select("event_id", "props")
     return writes.patch(e, e.select("event_id", F.lit('{"k": null, "seen": {"by": "patch"}}').alias("patch")), "event_id", "props")
+
+
+catalog_database.register(query, table, texts, parts, rounded, bm25_sql, TOKENS, PART_TOKENS)

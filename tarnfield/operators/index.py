@@ -45,10 +45,10 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def scored(posts: DataFrame, field_stats: DataFrame) -> DataFrame:
+def scored(posts: DataFrame, field_stats: DataFrame, bounds: tuple[int, int] = WEIGHT) -> DataFrame:
     """posts with df, idf and the BM25 score of each posting; field_stats has a row per field."""
     df = posts.groupBy("field", "term").agg(F.count("*").alias("df"))
     with_df = posts.join(df, ["field", "term"]).join(F.broadcast(field_stats), "field")  # one row a declared field
     tf, avg = F.col("tf"), F.col("total_len") / F.col("doc_count")
     gain = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / avg))
-    return with_df.withColumn("idf", idf(F.col("doc_count"), F.col("df"))).withColumn("score", weight(tf) * F.col("idf") * gain)
+    return with_df.withColumn("idf", idf(F.col("doc_count"), F.col("df"))).withColumn("score", weight(tf, bounds) * F.col("idf") * gain)

@@ -14,10 +14,10 @@ PATTERN_TERMS = 128  #: terms a pattern stands for, the most frequent first; par
 RRF_K, RRF_DEPTH = 10, 100
 
 
-def match(tokens: DataFrame, words: list[str], mode: str = "or") -> DataFrame:
+def match(tokens: DataFrame, words: list[str], mode: str = "or", bounds: tuple[int, int] = index.WEIGHT) -> DataFrame:
     """doc_id, score, matched: any word (or, wand), every word in some field (and), every word in one field (best)."""
     words = list(dict.fromkeys(words))
-    hits = index.scored(index.postings(tokens, words), index.stats(tokens))
+    hits = index.scored(index.postings(tokens, words), index.stats(tokens), bounds)
     if mode == "best":
         hits = hits.groupBy("doc_id", "field").agg(F.sum("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == len(words))
         return hits.groupBy("doc_id").agg(F.sum("score").alias("score"), F.max("n").alias("matched"))
