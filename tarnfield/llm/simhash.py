@@ -228,6 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first")
     classes = members.join(members.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     known = distinct.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    known = stash(known, "classes")  # as a scan, so that adaptive execution may split a hot fingerprint in the last join
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
