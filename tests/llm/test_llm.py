@@ -257,6 +257,25 @@ def test_lm_prefers_text_to_shuffles(spark):
     assert won > 0.6 * tried
 
 
+@pytest.mark.parametrize("vocabulary", [50, 20_000])
+def test_lm_scores_every_word_by_its_count(spark, monkeypatch, vocabulary):
+    monkeypatch.setattr(lm, "VOCABULARY", vocabulary)
+    docs = documents(spark, SF)
+    model = lm.train(docs)
+    classes = lm.Classes(model.own)
+    texts = {r.doc_id: lm.words(r.text) for r in docs.collect()}
+    counts = Counter(w for t in texts.values() for w in t)
+    totals = Counter()
+    for w, n in counts.items():
+        totals[classes[w]] += n
+    for r in lm.score(docs, model).collect():
+        ids = [lm.EDGE, *(classes[w] for w in texts[r.doc_id]), lm.EDGE]
+        table = float(model.table[ids[:-2], ids[1:-1], ids[2:]].sum(dtype=np.float64))
+        assert r.log_likelihood == pytest.approx(table + sum(np.log(counts[w] / (totals[classes[w]] + 1)) for w in texts[r.doc_id]), rel=1e-6)
+    unseen = spark.createDataFrame([(1, "zzqqx qqé zzqqx ÿ")], "doc_id long, text string")
+    assert lm.score(unseen, model).first().log_likelihood == pytest.approx(lm.pseudo_likelihood("zzqqx qqé zzqqx ÿ", model, classes)[1], rel=1e-6)
+
+
 # Media
 
 
