@@ -14,7 +14,6 @@ from .common import CHUNK, map_texts, ship
 #: Trigrams are counted in so many hashed cells a language; bounds the model whatever the corpus.
 CELLS = 1 << 14
 STEPS = 15
-MAX_LANGUAGES = 4
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -88,8 +87,6 @@ def infer(model: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> tuple[lis
     chosen, best = [int(np.argmax(single))], float(single.max())
     shares = np.ones(1)
     for k in order:
-        if len(chosen) == MAX_LANGUAGES or share[k] < 0.02:
-            break
         if k in chosen:
             continue
         s, fit = mixture(probs[:, [*chosen, k]], counts)

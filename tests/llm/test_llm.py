@@ -220,6 +220,16 @@ def test_language_mixture(spark):
     assert {model[0][i] for i in chosen} == {"en", "de"} and min(shares) > 0.3
 
 
+@pytest.mark.parametrize("shares", [[30, 20, 15, 14, 11, 10], [50, 48.8, 1.2], [100]])
+def test_language_penalty_alone_ends_the_selection(shares):
+    model = np.full((60, 6), 1e-5)
+    for k in range(6):
+        model[10 * k : 10 * k + 10, k] = 0.1
+    cells = np.arange(10 * len(shares))
+    chosen, got, _ = language.infer(np.log(model), cells, np.repeat(np.array(shares) * 20, 10).astype(np.int64))
+    assert chosen == list(range(len(shares))) and np.allclose(100 * got, shares, atol=0.5)
+
+
 def test_no_letters(spark):
     df = spark.createDataFrame([(1, "12 !"), (2, None)], "doc_id long, text string")
     assert {r.lang_pred for r in language.identify(df, language.train(documents(spark, SF))).collect()} == {"und"}
