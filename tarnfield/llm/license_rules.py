@@ -26,7 +26,7 @@ mit-0 | mit-0 => \bmit-0\b | attribution => mit@no@attribution
 mit | spdx-license-identifier => spdx-license-identifier:@?mit\b | permission => permission@is@hereby@granted@free@of@charge@to@any@person@obtaining@a@copy | licen => \bmit@licen[cs]ed? | opensource.org/licenses/mit => opensource\.org/licenses/mit | expat => expat@licen[cs]e
 x11 | x11 => \bx11@licen[cs]e | consortium => x@consortium@licen[cs]e
 bsd-4-clause | bsd-4-clause => bsd-4-clause | original => original@bsd@licen[cs]e | advertising => all@advertising@materials@mentioning@features
-bsd-3-clause | bsd-3-clause => bsd-3-clause | clause => (?:3|three)@clause@bsd | new => (?:new|modified|revised)@bsd@licen[cs]e | neither => neither@the@name@of@.{0,80}@nor@the@names@of@its@contributors | opensource.org/licenses/bsd-3 => opensource\.org/licenses/bsd-3
+bsd-3-clause | bsd-3-clause => bsd-3-clause | clause => (?:3|three)@clause@bsd | new => (?:new|modified|revised)@bsd@licen[cs]e | neither => neither@the@name@of@(?:[a-z0-9.]{1,30}@){0,12}nor@the@names@of@its@contributors | opensource.org/licenses/bsd-3 => opensource\.org/licenses/bsd-3
 bsd-2-clause | bsd-2-clause => bsd-2-clause | clause => (?:2|two)@clause@bsd | simplified => simplified@bsd@licen[cs]e | freebsd => freebsd@licen[cs]e | opensource.org/licenses/bsd-2 => opensource\.org/licenses/bsd-2
 bsd-1-clause | bsd-1-clause => bsd-1-clause
 0bsd | 0bsd => \b0bsd\b | zero-clause => zero-clause@bsd
