@@ -8,6 +8,7 @@ import hashlib
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -24,6 +25,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+JWT_TAIL = re.compile(r"\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}")
 PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 ACCOUNT = re.compile(r"AccountKey=([A-Za-z0-9+/]{86}==)")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -104,6 +107,17 @@ RULES = {
 }
 
 
+def _jwt_starts(text: str, starts: list[int]) -> Iterator[int]:
+    """Starts whose run of letters is followed by two more parts; a run is gone through once, however many starts it holds."""
+    end, whole = 0, False
+    for at in starts:
+        if at >= end:
+            end = m.end() if (m := JWT_RUN.match(text, at)) else at + 1
+            whole = JWT_TAIL.match(text, end) is not None
+        if whole:
+            yield at
+
+
 def find(text: str | None) -> list[Span]:
     """All spans of a text by start, then kind; ends exclusive, in code points. Of each kind leftmost and not overlapping."""
     if not text:
@@ -115,7 +129,8 @@ def find(text: str | None) -> list[Span]:
     for kind, starts in hits.items():
         pattern, group, holds = RULES[kind]
         order, done = KINDS.index(kind), 0
-        for at in sorted(set(starts)):
+        starts = sorted(set(starts))
+        for at in _jwt_starts(text, starts) if kind == "jwt" else starts:
             if at >= done and (m := pattern.match(text, at)):
                 done = m.end()
                 if holds(m):
@@ -161,7 +176,11 @@ def scan(docs: DataFrame, redacted: bool = False) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """All documents, secrets replaced; n_chars follows the text."""
+    """All documents, secrets replaced; n_chars follows the text.
+
+    Null and empty texts stay as they are (n_chars null, 0), as do rows without doc_id; repeated rows are handled one by one,
+    an empty table gives none, columns beside those of documents are dropped.
+    """
     run = lambda ids, texts, langs, sources: [ids, [redact(t, find(t)) for t in texts], langs, sources]
     df = map_texts(docs, DOCUMENTS[:4], run, "doc_id long, text string, lang string, source string")
     return df.withColumn("n_chars", F.length("text").cast("bigint")).select(*DOCUMENTS)
