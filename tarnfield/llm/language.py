@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,18 @@ from .common import CHUNK, map_texts, ship
 #: Trigrams are counted in so many hashed cells a language; bounds the model whatever the corpus.
 CELLS = 1 << 14
 STEPS = 15
-NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@cache
+def no_letters() -> re.Pattern:
+    """Runs of anything but letters: \\w also holds numbers that are no digits, such as ½ and Ⅷ."""
+    numbers = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{numbers}]+")
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Cells and counts of the byte trigrams of a text's letters; empty without letters."""
-    clean = NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    clean = no_letters().sub(" ", (text or "").lower()).strip()
     if not clean:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     b = np.frombuffer(f" {clean} ".encode(), np.uint8).astype(np.uint32)
@@ -102,7 +109,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages (name:percent, comma-joined).
 
     Texts that are null or have no letter, and all texts when nothing was learned: und, score 0, no languages. score is the
-    share of lang_pred in the mixture times its posterior. Rows without doc_id are neither learned from nor held out.
+    share of lang_pred in the mixture times its posterior. Rows without doc_id are neither learned from nor held out. Of
+    languages of equal share the first by name comes first. Repeated rows get the same; an empty table gives none, and
+    as training table teaches none. Columns beside doc_id and text (training: and lang) are not read.
     """
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, logs))  # at most CELLS numbers a language

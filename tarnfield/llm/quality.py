@@ -100,7 +100,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents kept, without their failing lines; n_chars follows the text."""
+    """The documents kept, without their failing lines; n_chars follows the text.
+
+    Null, empty and blank texts have too few words and go. Rows without doc_id, lang or source are judged by their text;
+    repeated rows one by one. An empty table gives none; columns beside those of documents are dropped.
+    """
     df = quality(docs, keep=("lang", "source")).where("kept")
     return df.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("bigint").alias("n_chars")).select(*DOCUMENTS)
 
