@@ -13,7 +13,7 @@ STAGES = [
     ("near_duplicates", lambda spark, docs, sf_dir: simhash.stage(docs)),
     ("secrets", lambda spark, docs, sf_dir: secrets.stage(docs)),
     ("mixing", lambda spark, docs, sf_dir: mixing.curriculum(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.packed(docs)),
+    ("packing", lambda spark, docs, sf_dir: packing.packed(docs, in_order=True)),
 ]
 
 #: Fingerprints, checksums and best-fit have no SQL form here; tests hold run() against a brute-force version.
@@ -21,6 +21,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing.packed returns of the documents that the other stages keep: a row for each piece of each copy, with its
+    bin and its position in training order.
+
+    The stages say what they do with nulls, ties, repeated rows and long texts; an empty table gives no row.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
