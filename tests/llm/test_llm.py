@@ -159,13 +159,117 @@ def test_anchors_cover(blocks):
         assert x & y
 
 
+@pytest.mark.parametrize("blocks", [2, 3])
+def test_anchors_cover_five_bits(blocks):
+    rng = np.random.default_rng(blocks)
+    for _ in range(300):
+        a = b = rng.integers(0, 1 << 63, dtype=np.uint64)
+        for i in rng.choice(64, 5, replace=False):
+            b ^= np.uint64(1 << int(i))
+        x, y = (set(simhash.anchors(np.array([v], np.uint64), blocks, 5)[0].tolist()) for v in (a, b))
+        assert x & y
+
+
+def families(rng, n, spread):
+    centres = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    return np.unique(np.array([c ^ np.uint64(sum(1 << int(i) for i in set(rng.integers(0, 64, spread)))) for c in centres for _ in range(6)], np.uint64))
+
+
+@pytest.mark.parametrize("blocks", [2, 3])
+def test_linked_against_brute_force(spark, blocks):
+    fps = families(np.random.default_rng(blocks), 60, 3)
+    df = spark.createDataFrame([(int(x), int(x)) for x in fps.view(np.int64)], "fp long, id long")
+    got = {r.node: r.root for r in simhash.components(simhash.linked(df, blocks)).collect()}
+    want = classes_of(fps.tolist(), fps.view(np.int64).tolist())
+    assert [got.get(int(x), int(x)) for x in fps.view(np.int64)] == want
+
+
+def test_linked_with_checks_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    fps = families(rng, 40, 4)
+    checks = rng.integers(0, 2, (2, len(fps)), dtype=np.int64) * ((1 << 13) - 1)  # 13 or 26 bits apart, or none
+    df = spark.createDataFrame([(int(f), i, int(a), int(b)) for i, (f, a, b) in enumerate(zip(fps.view(np.int64), *checks, strict=True))], "fp long, id long, c1 long, c2 long")
+    got = {r.node: r.root for r in simhash.components(simhash.linked(df, 3, 5, ("c1", "c2"), 20)).collect()}
+    near = lambda i, j: (int(fps[i]) ^ int(fps[j])).bit_count() <= 5 and sum(int(c[i] != c[j]) * 13 for c in checks) <= 20
+    want = list(range(len(fps)))
+    for _ in range(len(fps)):
+        new = [min([want[j] for j in range(len(fps)) if near(i, j)]) for i in range(len(fps))]
+        if new == want:
+            break
+        want = new
+    assert [got.get(i, i) for i in range(len(fps))] == want
+
+
+def test_very_large_groups_are_searched_in_pieces(monkeypatch):
+    fps = families(np.random.default_rng(4), 80, 3)
+    rows = simhash.Prints(fps, np.arange(len(fps)))
+    whole = simhash.links(np.zeros(len(fps), np.uint64), rows)
+    monkeypatch.setattr(simhash, "WHOLE", 50)
+    assert sorted(simhash.links(np.zeros(len(fps), np.uint64), rows)) == sorted(whole)
+
+
+def slow_near_print(text):
+    words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0, 0, 0
+    mask, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    h = lambda x: xxh64_intdigest(x.encode(), 42)
+
+    def other(x):
+        x = (x ^ x >> 31) * mix & mask
+        x = (x ^ x >> 29) * mix & mask
+        return x ^ x >> 32
+
+    majority = lambda votes: sum(1 << b for b in range(64) if 2 * sum(w for x, w in votes if x >> b & 1) > sum(w for _, w in votes))
+    singles = [(h(w), round(256 * n**0.5)) for w, n in Counter(words).items()]
+    shingles = {h(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
+    return majority(singles), majority([(x, 1) for x in shingles]), majority([(other(x), 1) for x in shingles])
+
+
+def kept_of(texts):
+    """The smallest id of each class of near copies."""
+    ids = sorted(texts)
+    prints = {i: slow_near_print(texts[i]) for i in ids}
+    root = {i: i for i in ids}
+    top = lambda i: i if root[i] == i else top(root[i])
+    for at, i in enumerate(ids):
+        for j in ids[at + 1 :]:
+            a, b = prints[i], prints[j]
+            if (a[0] ^ b[0]).bit_count() <= 5 and (a[1] ^ b[1]).bit_count() + (a[2] ^ b[2]).bit_count() <= 24:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return [i for i in ids if root[i] == i]
+
+
+def test_near_copies_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in documents(spark, SF).collect()}
+    assert sorted(r.doc_id for r in simhash.stage(documents(spark, SF)).collect()) == kept_of(docs)
+
+
+def test_near_copies_of_few_changed_words(spark):
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(2000)]
+    rows, pairs = [], []
+    for k in range(60):
+        a = rng.choice(words, 250).tolist()
+        b = list(a)
+        for i in rng.choice(250, 4, replace=False):
+            b[int(i)] = "changed" + str(i)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs.append((a, b))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    assert all(len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) for a, b in pairs)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    kept = {r.doc_id for r in simhash.stage(df).collect()}
+    assert kept >= set(range(0, 120, 2)) and sum(i in kept for i in range(1, 120, 2)) <= 6
+
+
 def test_links_in_large_groups():
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 1 << 63, dtype=np.uint64)
     near = np.unique(np.array([centre ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j)) for i, j in rng.integers(0, 64, (400, 2))], np.uint64))
     far = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
     fps = np.concatenate([near, far])
-    found = simhash.links(np.zeros(len(fps), np.uint64), fps)
+    found = simhash.links(np.zeros(len(fps), np.uint64), simhash.Prints(fps, fps))
     got = {x: r for x, r in found}
     want = classes_of(fps.tolist(), list(range(len(fps))))
     same = lambda i, j: got.get(int(fps[i]), int(fps[i])) == got.get(int(fps[j]), int(fps[j]))
@@ -479,8 +583,7 @@ def test_packing_in_order(spark, tmp_path, monkeypatch, stored):
 def test_pipeline_against_brute_force(spark):
     docs = {r.doc_id: r for r in documents(spark, SF).collect()}
     kept = {r.doc_id: r.clean_text for r in quality.quality(documents(spark, SF)).collect() if r.kept}
-    ids = sorted(kept)
-    stay = sorted(set(classes_of([slow_fingerprint(kept[i]) for i in ids], ids)))
+    stay = kept_of(kept)
     texts = {i: secrets.redact(kept[i], secrets.find(kept[i])) for i in stay}
     size = {i: len(texts[i].encode().split()) for i in stay}
     sums = Counter()
