@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +14,21 @@ from .common import CHUNK, map_texts, ship
 #: Trigrams are counted in so many hashed cells a language; bounds the model whatever the corpus.
 CELLS = 1 << 14
 STEPS = 15
+NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
-@cache
-def no_letters() -> re.Pattern:
-    """Runs of anything but letters: \\w also holds numbers that are no digits, such as ½ and Ⅷ."""
-    numbers = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{numbers}]+")
+def only_letters(text: str) -> str:
+    """The text in lower case, a blank for whatever stands between letters. Numbers that are no digits, such as ½ and Ⅷ, are
+    in \\w with the letters and go first."""
+    low = text.lower()
+    if not low.isascii() and (numbers := [c for c in set(low) if c.isalnum() and not c.isalpha()]):
+        low = low.translate(dict.fromkeys(map(ord, numbers), " "))
+    return NO_LETTERS.sub(" ", low).strip()
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Cells and counts of the byte trigrams of a text's letters; empty without letters."""
-    clean = no_letters().sub(" ", (text or "").lower()).strip()
+    clean = only_letters(text or "")
     if not clean:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     b = np.frombuffer(f" {clean} ".encode(), np.uint8).astype(np.uint32)
