@@ -1,26 +1,40 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by nearness."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by nearness.
+
+The space is spanned by all terms of the examples (words, and prefixes of four and five letters), clean and toxic ones alike.
+A term's weight is (1 + log of its count) times its idf among all documents times FLOOR + phi, phi being how far its
+presence goes with the label among the examples, either way (the correlation of the two). A logistic curve over the votes,
+fitted on the examples themselves, each judged by the others, makes scores probabilities.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, ship
+from .common import CHUNK, map_texts, ship
 
 #: At most so many labelled rows of either class are examples (by hash of their id); bounds the index.
 EXAMPLES = 1500
-NEIGHBOURS = 15
-BLOCK = 64
-#: Terms whose presence depends on the label with at least this chi-square, in at least MIN_DOCS examples, span the space.
-CHI2 = 15.0
-MIN_DOCS = 8
-#: Weight of the prior in a vote.
-PRIOR = 0.5
+NEIGHBOURS = 30
+BLOCK = 128
+#: Terms in at least one of so many examples are common: their lists have no gaps, and a peak for each block.
+COMMON = 12
+FLOOR = 0.1
+#: A vote weighs cosine / (NEARNESS - cosine).
+NEARNESS = 1.1
+#: Examples of at least this cosine are taken as copies when an example is judged by the others.
+COPY = 0.999
+#: Keeps the curve's log-odds finite.
+EDGE = 0.01
+#: Words whose terms a task keeps for lookup.
+HELD = 200_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -29,137 +43,248 @@ def terms(word: str) -> tuple[str, ...]:
     return (word, "4" + word[:4], "5" + word[:5]) if len(word) > 4 else (word,)
 
 
+def words(text: str | None) -> Counter:
+    return Counter(WORDS.findall((text or "").lower()))
+
+
 def bag(text: str | None) -> Counter:
     out: Counter = Counter()
-    for word, n in Counter(WORDS.findall((text or "").lower())).items():
+    for word, n in words(text).items():
         for t in terms(word):
             out[t] += n
     return out
 
 
+class Terms(dict):
+    """Numbers of a word's terms in a vocabulary; looks up what it has not seen."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = out = tuple(self.vocabulary[t] for t in terms(word) if t in self.vocabulary)
+        return out
+
+    def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's terms, ascending, and their counts."""
+        found: list[int] = []
+        counts: list[int] = []
+        for word, n in words(text).items():
+            found += (known := self[word])
+            counts += [n] * len(known)
+        at, which = np.unique(np.array(found, np.int64), return_inverse=True)
+        return at, np.bincount(which, np.array(counts, np.float64), len(at)).astype(np.float64)
+
+
 class Index(NamedTuple):
     vocabulary: dict[str, int]
-    idf: np.ndarray
-    vectors: list  #: by term: (examples, weights), examples ascending
-    peaks: np.ndarray  #: (term, block): the largest weight in the block
+    weights: np.ndarray  #: of a term, before its count
+    pointers: np.ndarray  #: where a term's postings begin; one more for the end
+    places: np.ndarray  #: of postings: example
+    values: np.ndarray  #: of postings: its weight in the example's vector
+    row: np.ndarray  #: of a common term: its row below; else -1, and only such terms have postings
+    lists: np.ndarray  #: (common term, block, place in it): weights, without gaps
+    peaks: np.ndarray  #: (common term, block): the largest weight in the block
     labels: np.ndarray
-    weights: np.ndarray  #: of an example's vote, so that classes weigh as among all labels
+    votes: np.ndarray  #: of an example, so that classes weigh as among all labels
     ids: list
-    prior: float  #: share of toxic ones among examples without any term of the space
+    prior: float  #: share of toxic rows among those labelled
+    curve: tuple[float, float]
+
+
+def vector(at: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights of terms in a text's vector, of length 1."""
+    w = (1 + np.log(counts)) * weights[at]
+    norm = np.sqrt((w * w).sum())
+    return w / norm if norm else w
 
 
-def build(rows: list[tuple], toxic: int, clean: int) -> Index:
-    """rows: (doc_id, text, label) of the examples; toxic and clean: numbers of labelled rows they stand for."""
-    bags = [bag(t) for _, t, _ in rows]
+def vocabulary_of(bags: Iterable[Iterable[str]]) -> dict[str, int]:
+    return {t: i for i, t in enumerate(sorted({t for b in bags for t in b}))}
+
+
+def build(rows: list[tuple], vocabulary: dict[str, int], frequency: np.ndarray, texts: int, toxic: int, clean: int) -> Index:
+    """rows: (doc_id, text, label) of the examples; frequency: of all texts, those with each term; toxic and clean: numbers
+    of labelled rows that the examples stand for."""
+    known = Terms(vocabulary)
+    bags = [known.bag(t) for _, t, _ in rows]
     y = np.array([r[2] for r in rows], dtype=np.int64)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    with_term: dict[str, list[int]] = {}
-    for b, label in zip(bags, y, strict=True):
-        for t in b:
-            with_term.setdefault(t, [0, 0])[label] += 1
-    chosen = []
-    n = max(1, n0 + n1)
-    for t, (a0, a1) in sorted(with_term.items()):
-        a = a0 + a1
-        if a >= MIN_DOCS and a < n and n0 and n1:
-            chi = n * (a1 * (n0 - a0) - a0 * (n1 - a1)) ** 2 / (n1 * n0 * a * (n - a))
-            if chi >= CHI2 and a1 * n0 > 2 * a0 * n1:
-                chosen.append(t)
-    vocabulary = {t: i for i, t in enumerate(chosen)}
-    idf = np.array([np.log(1 + n / sum(with_term[t])) for t in chosen])
-    weight = np.where(y == 1, toxic / max(1, n1), clean / max(1, n0))
-    weight = weight / weight.max(initial=1e-9)
-    vecs = [vector(b, vocabulary, idf) for b in bags]
-    none = np.array([not len(v[0]) for v in vecs], dtype=bool) if vecs else np.zeros(0, bool)
-    prior = float(((y * weight)[none].sum() + 0.01) / (weight[none].sum() + 1.0)) if len(y) else 0.0
-    order = sorted((i for i in range(len(vecs)) if not none[i]), key=lambda i: (int(vecs[i][0][np.argmax(vecs[i][1])]), i))  # like with like: tighter peaks
-    lists: list[tuple[list, list]] = [([], []) for _ in chosen]
-    blocks = -(-len(order) // BLOCK)
-    peaks = np.zeros((len(chosen), max(1, blocks)))
-    for at, i in enumerate(order):
-        for t, w in zip(*vecs[i], strict=True):
-            lists[t][0].append(at)
-            lists[t][1].append(w)
-            peaks[t, at // BLOCK] = max(peaks[t, at // BLOCK], w)
-    return Index(vocabulary, idf, [(np.array(a, dtype=np.int64), np.array(w)) for a, w in lists], peaks, y[order], weight[order], [rows[i][0] for i in order], prior)
-
-
-def vector(b: Counter, vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of the space and their TF-IDF weights, of length 1."""
-    found = sorted((vocabulary[t], n) for t, n in b.items() if t in vocabulary)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0)
-    at = np.array([i for i, _ in found])
-    w = (1 + np.log(np.array([n for _, n in found], dtype=np.float64))) * idf[at]
-    return at, w / np.sqrt((w * w).sum())
-
-
-def nearest(index: Index, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
-    """The k examples of the largest cosine above 0, ties to the lower place: blocks in order of their bound, until no
-    bound reaches the k-th cosine."""
-    bounds = w @ index.peaks[at]
-    best: list[tuple[float, int]] = []
-    for block in np.argsort(-bounds, kind="stable"):
-        if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-12:
-            break
-        lo = block * BLOCK
-        scores = np.zeros(BLOCK)
-        for t, x in zip(at, w, strict=True):
-            rows, weights = index.vectors[t]
-            a, b = np.searchsorted(rows, (lo, lo + BLOCK))
-            scores[rows[a:b] - lo] += x * weights[a:b]
-        best = sorted([*best, *((-float(scores[i]), int(lo + i)) for i in np.flatnonzero(scores > 0))])[:k]
-    return [(i, -s) for s, i in best]
+    n1, n = int(y.sum()), len(y)
+    n0 = n - n1
+    a1, a0 = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    for (at, _), label in zip(bags, y, strict=True):
+        (a1 if label else a0)[at] += 1
+    spread = np.sqrt(n1 * n0 * (a1 + a0) * np.maximum(1, n - a1 - a0))
+    phi = np.abs(a1 * (n0 - a0) - a0 * (n1 - a1)) / np.maximum(spread, 1e-9)
+    weights = np.log(1 + texts / np.maximum(1, frequency)) * (FLOOR + phi)
+    vectors = [vector(at, counts, weights) for at, counts in bags]
+    # like with like makes tighter peaks: by label, then by the term that weighs most
+    order = sorted(range(n), key=lambda i: (int(y[i]), int(bags[i][0][np.argmax(vectors[i])]) if len(vectors[i]) else -1, i))
+    blocks = max(1, -(-n // BLOCK))
+    term = np.concatenate([bags[i][0] for i in order] or [np.zeros(0, np.int64)])
+    place = np.repeat(np.arange(n), [len(vectors[i]) for i in order]).astype(np.int32)
+    value = np.concatenate([vectors[i] for i in order] or [np.zeros(0)])
+    common = np.flatnonzero((a1 + a0) * COMMON >= max(1, n))
+    row = np.full(len(vocabulary), -1, np.int32)
+    row[common] = np.arange(len(common))
+    many = row[term] >= 0
+    lists = np.zeros((len(common), blocks * BLOCK), np.float32)
+    lists[row[term[many]], place[many]] = value[many]
+    lists = lists.reshape(len(common), blocks, BLOCK)
+    term, place, value = term[~many], place[~many], value[~many]
+    by_term = np.argsort(term, kind="stable")
+    pointers = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
+    votes = np.where(y == 1, toxic / max(1, n1), clean / max(1, n0))[order]
+    prior = toxic / max(1, toxic + clean)
+    index = Index(vocabulary, weights, pointers, place[by_term], value[by_term], row, lists, lists.max(axis=2), y[order], votes / votes.max(initial=1e-9), [rows[i][0] for i in order], prior, (0.0, 1.0))
+    judged = [vote(index, nearest(index, bags[i][0], vectors[i], without=here)) for here, i in enumerate(order)]
+    return index._replace(curve=curve(np.array(judged), index.labels, index.votes, prior))
+
+
+def nearest(index: Index, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[int, float]]:
+    """The k examples of the largest cosine above 0, ties to the lower place. Without an example: and without what is as near
+    as a copy.
+
+    Postings of rarer terms come first. What they give and the most that common terms can add within a block bound the
+    block's cosines; common terms are added only in blocks whose bound reaches the k-th largest cosine so far.
+    """
+    rows = index.row[at]
+    few, many = rows < 0, rows >= 0
+    lo, n = index.pointers[at[few]], index.pointers[at[few] + 1] - index.pointers[at[few]]
+    ends = np.cumsum(n)
+    which = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - n), n)
+    blocks = index.lists.shape[1]
+    cosines = np.zeros(blocks * BLOCK)
+    if len(which):
+        cosines += np.bincount(index.places[which], index.values[which] * np.repeat(w[few], n), blocks * BLOCK)
+    if many.any():
+        rows, x = rows[many], w[many].astype(np.float32)
+        least = np.partition(cosines[: len(index.labels)], -k)[-k] if without is None and len(index.labels) >= k else 0.0
+        bounds = cosines.reshape(blocks, BLOCK).max(axis=1) + x @ index.peaks[rows]
+        alive = np.flatnonzero(bounds >= least - 1e-5)
+        lists = index.lists[rows] if len(alive) == blocks else index.lists[rows[:, None], alive]
+        cosines.reshape(blocks, BLOCK)[alive] += (x @ lists.reshape(len(rows), -1)).reshape(-1, BLOCK)
+        if len(alive) < blocks:  # elsewhere nothing reaches the k-th
+            cosines.reshape(blocks, BLOCK)[np.delete(np.arange(blocks), alive)] = 0.0
+    cosines = cosines[: len(index.labels)]
+    if without is not None:
+        cosines = np.where(cosines >= COPY, 0.0, cosines)
+        cosines[without] = 0.0
+    best = np.argpartition(-cosines, min(2 * k, len(cosines) - 1))[: 2 * k] if len(cosines) > 4 * k else np.arange(len(cosines))
+    if len(best) and len(best) < len(cosines) and (edge := cosines[best].min()) > 0 and np.count_nonzero(cosines >= edge) > len(best):
+        best = np.flatnonzero(cosines >= edge)
+    best = best[np.lexsort((best, -cosines[best]))][:k]
+    return [(int(i), float(cosines[i])) for i in best if cosines[i] > 0]
 
 
 def vote(index: Index, found: list[tuple[int, float]]) -> float:
-    """Share of toxic votes; each weighs its cosine over its distance, and the prior a little."""
-    total, yes = PRIOR, PRIOR * index.prior
+    """Share of toxic votes; each weighs its cosine over its distance. Without neighbours the share among labelled rows."""
+    total = yes = 0.0
     for i, cos in found:
-        w = index.weights[i] * cos / (1.1 - cos)
+        w = index.votes[i] * cos / (NEARNESS - min(cos, 1.0))
         total += w
         yes += w * index.labels[i]
-    return float(min(1.0, max(0.0, yes / total)))
+    return float(yes / total) if total else index.prior
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Index:
-    """Examples from labelled rows whose crc32(doc_id) mod 5 is not 0; null labels are none. Repeated labels count once."""
+def curve(judged: np.ndarray, y: np.ndarray, weights: np.ndarray, prior: float) -> tuple[float, float]:
+    """Intercept and slope of a logistic curve over the log-odds of votes, by Newton's method with a small ridge."""
+    b = np.array([0.0, 1.0])
+    if not 0 < y.sum() < len(y):
+        return 0.0, 1.0
+    x = np.stack([np.ones(len(judged)), log_odds(judged)], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (weights * (p - y)) + 1e-3 * (b - [0, 1]))
+        b = b - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(b[0]), float(max(b[1], 0.0))
+
+
+def log_odds(share: np.ndarray | float) -> np.ndarray:
+    return np.log((share + EDGE) / (1 + EDGE - share))
+
+
+def calibrated(index: Index, found: list[tuple[int, float]]) -> float:
+    """The probability of label 1; without neighbours the share among labelled rows."""
+    if not found:
+        return float(index.prior)
+    a, b = index.curve
+    return float(1 / (1 + np.exp(-np.clip(a + b * log_odds(vote(index, found)), -30, 30))))
+
+
+def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """Of all texts, how many have each term, and how many there are."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(vocabulary)  # terms of at most 2 * EXAMPLES texts
+    schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+
+    def count(batches):
+        known, sums, texts = Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64), 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK):
+                for t in batch.column(0).slice(lo, CHUNK).to_pylist():
+                    sums[list({x for w in set(WORDS.findall((t or "").lower())) for x in known[w]})] += 1
+                    texts += 1
+        sums[-1] = texts
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], schema=schema)
+
+    found = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def examples(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple], int, int]:
+    """(doc_id, text, label) of the examples, by doc_id, and the numbers of toxic and clean labelled rows to learn from.
+
+    Rows whose crc32(doc_id) mod 5 is 0, null labels and null ids are none. Repeated labels count once, toxic if one is.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy(*order).limit(EXAMPLES).collect()]
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in ids], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return build([(r.doc_id, r.text, r.toxic) for r in rows], counts.get(1, 0), counts.get(0, 0))
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic)) for r in ids], "doc_id long, toxic int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()  # at most 2 * EXAMPLES
+    return [(r.doc_id, r.text, r.toxic) for r in rows], counts.get(1, 0), counts.get(0, 0)
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Index:
+    rows, toxic, clean = examples(docs, labels)
+    vocabulary = vocabulary_of(bag(t) for _, t, _ in rows)
+    return build(rows, vocabulary, *frequencies(docs, vocabulary), toxic, clean)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (id:cosine of the nearest three toxic examples).
+    """doc_id, held_out, score, predicted, evidence (id:label:cosine of the three nearest examples).
 
-    Texts without a term of the space, null and empty ones too, score the prior. Repeated rows score alike.
+    Texts without a term of the space, null and empty ones too, score the share of toxic rows among those labelled (0
+    without any). Of equally near examples the one earlier in the index counts. Repeated rows score alike, rows without doc_id
+    are not held out; an empty table gives none. Columns beside doc_id and text are not read.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(index)  # at most 2 * EXAMPLES vectors
+    shared = spark.sparkContext.broadcast(index)  # terms and postings of at most 2 * EXAMPLES texts
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    cache: dict[int, Terms] = {}
 
     def run(ids, held, texts):
         model = shared.value
-        known = model.vocabulary
+        known = cache.setdefault(0, Terms(model.vocabulary))
         cols = [ids, held, [], [], []]
         for t in texts:
-            some: Counter = Counter()
-            for word, n in Counter(WORDS.findall((t or "").lower())).items():
-                if word in known or "4" + word[:4] in known or "5" + word[:5] in known:
-                    for x in terms(word):
-                        some[x] += n
-            at, w = vector(some, known, model.idf)
-            found = nearest(model, at, w) if len(at) else []
-            s = vote(model, found)
+            at, counts = known.bag(t)
+            found = nearest(model, at, vector(at, counts, model.weights))
+            s = calibrated(model, found)
             cols[2].append(s)
             cols[3].append(int(s >= 0.5))
-            cols[4].append(",".join(f"{model.ids[i]}:{c:.3f}" for i, c in [x for x in found if model.labels[x[0]]][:3]))
+            cols[4].append(",".join(f"{model.ids[i]}:{model.labels[i]}:{c:.3f}" for i, c in found[:3]))
         return cols
 
     return map_texts(docs.select("doc_id", held.alias("held_out"), "text"), ("doc_id", "held_out", "text"), run, "doc_id long, held_out boolean, score double, predicted int, evidence string")

@@ -387,25 +387,90 @@ def test_no_letters(spark):
     assert {r.lang_pred for r in language.identify(df, language.train(documents(spark, SF))).collect()} == {"und"}
 
 
-def test_nearest_is_exact(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, " ".join(rng.choice(["vile", "nasty", "awful", "rotten"], 3).tolist() if i % 2 else []) + " " + " ".join(rng.choice(["day", "sun", "tree", "road", "lake"], 6).tolist()), i % 2) for i in range(400)]
-    index = toxicity.build(rows, 200, 200)
-    full = np.zeros((len(index.labels), len(index.vocabulary)))
-    for t, (at, w) in enumerate(index.vectors):
-        full[at, t] = w
-    for _, text, _ in rows[1:60:2]:
-        at, w = toxicity.vector(toxicity.bag(text), index.vocabulary, index.idf)
-        q = np.zeros(full.shape[1])
-        q[at] = w
-        assert np.allclose([c for _, c in toxicity.nearest(index, at, w)], np.sort(full @ q)[::-1][: toxicity.NEIGHBOURS])
-
-
-def test_toxicity_votes():
-    rows = [(i, "you vile awful thing on the road" if i % 4 == 0 else "a sunny day by the lake", int(i % 4 == 0)) for i in range(80)]
-    index = toxicity.build(rows, 20, 60)
-    p = lambda t: toxicity.vote(index, toxicity.nearest(index, *v) if len((v := toxicity.vector(toxicity.bag(t), index.vocabulary, index.idf))[0]) else [])
-    assert p("what a vile day") > 0.5 > p("the lake") and p(None) == index.prior
+def full_vectors(docs, rows):
+    """TF-IDF vectors of the examples, and a function for any text's, from the definition and without an index."""
+    texts = [t for *_, t in docs]
+    bags = [toxicity.bag(t) for _, t, _ in rows]
+    every = [set(toxicity.bag(t)) for t in texts]
+    known = sorted({t for b in bags for t in b})
+    y = np.array([label for *_, label in rows])
+    weight = {}
+    holds = np.array([[t in b for t in known] for b in bags], dtype=float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        phi = np.nan_to_num(np.abs(np.array([np.corrcoef(holds[:, j], y)[0, 1] for j in range(len(known))])))
+    for t, p in zip(known, phi, strict=True):
+        weight[t] = np.log(1 + len(texts) / max(1, sum(t in b for b in every))) * (toxicity.FLOOR + p)
+
+    def vector(text):
+        v = np.array([(1 + np.log(n)) * weight[t] if (n := b[t]) else 0.0 for t in known]) if (b := toxicity.bag(text)) else np.zeros(len(known))
+        return v / (np.linalg.norm(v) or 1.0)
+
+    return np.array([vector(t) for _, t, _ in rows]), vector
+
+
+def test_toxicity_against_brute_force(spark):
+    docs = documents(spark, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows, toxic, clean = toxicity.examples(docs, labels)
+    assert rows and all(zlib.crc32(str(i).encode()) % 5 for i, *_ in rows)
+    index = toxicity.learn(docs, labels)
+    full, vector = full_vectors([(r.doc_id, r.text) for r in docs.collect()], rows)
+    at = {i: k for k, (i, *_) in enumerate(rows)}
+    votes = {1: toxic / sum(y for *_, y in rows), 0: clean / sum(1 - y for *_, y in rows)}
+    known = toxicity.Terms(index.vocabulary)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, index).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5)
+        cosines = full @ vector(texts[r.doc_id])
+        found = toxicity.nearest(index, *(lambda a, n: (a, toxicity.vector(a, n, index.weights)))(*known.bag(texts[r.doc_id])))
+        want = np.sort(cosines)[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose([c for _, c in found], want[want > 1e-7][: len(found)], atol=1e-5)
+        assert np.allclose([cosines[at[index.ids[i]]] for i, _ in found], [c for _, c in found], atol=1e-5)
+        if found:
+            w = np.array([votes[int(index.labels[i])] * c / (1.1 - min(c, 1)) for i, c in found])
+            share = float((w * [index.labels[i] for i, _ in found]).sum() / w.sum())
+            odds = index.curve[0] + index.curve[1] * np.log((share + 0.01) / (1.01 - share))
+            assert r.score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-4)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_is_exact(monkeypatch, seed):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    rng = np.random.default_rng(seed)
+    words = ["".join("abcdefghij"[int(d)] for d in str(i * 7919 + 10)) + "word" for i in range(300)]
+    share = 1 / np.arange(1, 301)
+    rows = [(i, " ".join(rng.choice(words, 30, p=share / share.sum())) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(200)]
+    vocabulary = toxicity.vocabulary_of(toxicity.bag(t) for _, t, _ in rows)
+    known = toxicity.Terms(vocabulary)
+    frequency = np.zeros(len(vocabulary))
+    for _, t, _ in rows:
+        frequency[known.bag(t)[0]] += 1
+    index = toxicity.build(rows, vocabulary, frequency, 200, 67, 133)
+    assert 0 < len(index.lists) < len(vocabulary)
+    full, vector = full_vectors([(i, t) for i, t, _ in rows], rows)
+    for _, text, _ in [*rows[::9], (0, "vile words", 0), (0, "zzz", 0), (0, "", 0)]:
+        at, n = known.bag(text)
+        want = np.sort(full @ vector(text))[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose([c for _, c in toxicity.nearest(index, at, toxicity.vector(at, n, index.weights))], want[want > 1e-7], atol=1e-5)
+
+
+def test_toxicity_held_out(spark):
+    sf = SF.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.digest(documents(spark, sf), labels).join(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    p, y = np.array([r.score for r in rows]), np.array([r.toxic for r in rows])
+    above = (p[y == 1][:, None] > p[y == 0]).mean() + 0.5 * (p[y == 1][:, None] == p[y == 0]).mean()
+    bins = (p * 5).astype(int).clip(0, 4)
+    error = sum(abs(p[bins == b].mean() - y[bins == b].mean()) * (bins == b).mean() for b in set(bins))
+    assert above > 0.85 and error < 0.1 and (p[y == 0] >= 0.5).mean() < 0.05
+
+
+def test_toxicity_without_labels(spark):
+    docs = documents(spark, SF).limit(5)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {(r.score, r.predicted, r.evidence) for r in toxicity.digest(docs, none).collect()} == {(0.0, 0, "")}
+    only = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
+    assert all(r.score > 0.9 for r in toxicity.digest(docs, only).collect())
 
 
 def test_lm_prefers_text_to_shuffles(spark):
