@@ -473,34 +473,96 @@ def test_toxicity_without_labels(spark):
     assert all(r.score > 0.9 for r in toxicity.digest(docs, only).collect())
 
 
-def test_lm_prefers_text_to_shuffles(spark):
-    model = lm.train(documents(spark, SF))
-    classes, rng, won, tried = lm.Classes(model.own), np.random.default_rng(2), 0, 0
-    assert np.allclose(np.exp(model.table[:, : lm.EDGE]).sum(axis=1), 1, atol=1e-4)
-    for r in documents(spark, SF).where("length(text) > 800").limit(60).collect():
-        words = r.text.split()
-        tried += 1
-        won += lm.pseudo_likelihood(r.text, model, classes)[1] > lm.pseudo_likelihood(" ".join(rng.permutation(words)), model, classes)[1]
-    assert won > 0.6 * tried
-
-
-@pytest.mark.parametrize("vocabulary", [50, 20_000])
-def test_lm_scores_every_word_by_its_count(spark, monkeypatch, vocabulary):
+@pytest.fixture(scope="module")
+def lm_model(spark):
+    return lm.train(documents(spark, SF))
+
+
+def slow_log_probability(net, before, target, after):
+    """Of one word, in doubles, from the definition."""
+    x = net.bias.astype(float)
+    for j, i in enumerate([*before, *after]):
+        x = x + net.embed[i].astype(float) * net.gain[j].astype(float)
+    h = np.tanh(x)
+    c, k = divmod(target, lm.EACH)
+    a = h @ net.cluster.astype(float) + net.cluster_bias
+    b = h @ net.inside[c].astype(float) + net.inside_bias[c]
+    return a[c] - np.log(np.exp(a).sum()) + b[k] - np.log(np.exp(b).sum())
+
+
+@pytest.mark.parametrize("vocabulary", [2000, 20_000])
+def test_lm_against_brute_force(spark, monkeypatch, vocabulary):
     monkeypatch.setattr(lm, "VOCABULARY", vocabulary)
     docs = documents(spark, SF)
     model = lm.train(docs)
-    classes = lm.Classes(model.own)
-    texts = {r.doc_id: lm.words(r.text) for r in docs.collect()}
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
     counts = Counter(w for t in texts.values() for w in t)
+    frequent = sorted(counts, key=lambda w: (-counts[w], w))[: lm.OWN]
+    assert model.own == {w: i for i, w in enumerate(frequent)}
+    target = lambda w: model.own[w] if w in model.own else lm.OWN + zlib.crc32(w[-3:]) % lm.ENDINGS
     totals = Counter()
     for w, n in counts.items():
-        totals[classes[w]] += n
+        totals[target(w)] += n
+    assert np.array_equal(model.totals, [totals[k] for k in range(lm.TARGETS)])
     for r in lm.score(docs, model).collect():
-        ids = [lm.EDGE, *(classes[w] for w in texts[r.doc_id]), lm.EDGE]
-        table = float(model.table[ids[:-2], ids[1:-1], ids[2:]].sum(dtype=np.float64))
-        assert r.log_likelihood == pytest.approx(table + sum(np.log(counts[w] / (totals[classes[w]] + 1)) for w in texts[r.doc_id]), rel=1e-6)
-    unseen = spark.createDataFrame([(1, "zzqqx qqé zzqqx ÿ")], "doc_id long, text string")
-    assert lm.score(unseen, model).first().log_likelihood == pytest.approx(lm.pseudo_likelihood("zzqqx qqé zzqqx ÿ", model, classes)[1], rel=1e-6)
+        found = texts[r.doc_id]
+        assert r.n_words == len(found)
+        if len(found) > 2500:
+            continue
+        own, group = Counter(found), Counter(target(w) for w in found)
+        ids, want = [lm.EDGE] * 4 + [target(w) for w in found] + [lm.EDGE] * 4, 0.0
+        for i, w in enumerate(found):
+            k = ids[i + 4]
+            want += slow_log_probability(model.network, ids[i : i + 4], k, ids[i + 5 : i + 9])
+            if w not in model.own:
+                others = counts[w] - own[w]
+                want += (np.log(others) if others else -np.log(26) * len(w)) - np.log(totals[k] - group[k] + 1)
+        assert r.log_likelihood == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_lm_network_predicts_held_out_texts(spark):
+    texts = list(dict.fromkeys(r.text for r in documents(spark, SF.replace("0.001", "0.01")).orderBy("doc_id").collect() if r.text))
+    known, rest = spark.createDataFrame([(i, t) for i, t in enumerate(texts[::2])], "doc_id long, text string"), texts[1::2]
+    model = lm.train(known)
+    targets = lm.Targets(model.own)
+    x, y = lm.windows([[targets[w] for w in lm.words(t)] for t in rest])
+    shares = lm.log_probabilities(lm.fresh(model.totals), x, y).mean()
+    edges = lm.log_probabilities(model.network, np.full_like(x, lm.EDGE), y).mean()
+    got = lm.log_probabilities(model.network, x, y).mean()
+    assert got > shares + 0.3 and got > edges + 0.3
+    h = np.concatenate([lm.log_probabilities(model.network, np.repeat(x[:1], lm.TARGETS, axis=0), np.arange(lm.TARGETS))])
+    assert np.exp(h).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_gradient():
+    rng = np.random.default_rng(0)
+    net = lm.fresh(np.ones(lm.TARGETS))
+    x, y = rng.integers(0, lm.TARGETS, (64, 8)), rng.integers(0, lm.TARGETS, 64)
+    before = lm.log_probabilities(net, x, y).mean()
+    seen = net.filled(np.full(net.flat().size, 1e-4))
+    for _ in range(30):
+        lm.step(net, seen, x, y)
+    assert lm.log_probabilities(net, x, y).mean() > before + 2
+    small, grads = net.copy(), net.filled(np.zeros(net.flat().size))
+    lm.step(small, grads, x, y)  # grads: squares of the gradients
+    for name, at in (("embed", (int(x[0, 0]), 3)), ("gain", (2, 5)), ("cluster", (4, 7)), ("inside_bias", (int(y[1]) // lm.EACH, int(y[1]) % lm.EACH))):
+        ends = []
+        for d in (-0.02, 0.02):
+            moved = net.copy()
+            getattr(moved, name)[at] += d
+            ends.append(lm.log_probabilities(moved, x, y).mean())
+        assert abs((ends[1] - ends[0]) / 0.04) == pytest.approx(float(getattr(grads, name)[at]) ** 0.5, rel=0.1, abs=2e-4)
+
+
+def test_lm_tells_twice_from_once(spark):
+    """Words that only this text has are spelled; those of a text that occurs twice are not."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 8))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(6)]
+    docs = documents(spark, SF).select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([*texts, *texts[:3]])], "doc_id long, text string"))
+    got = {r.doc_id: r.mean_log_likelihood for r in lm.digest(docs).where("doc_id >= 10000").collect()}
+    assert min(got[i] for i in (10_000, 10_001, 10_002, 10_006)) > max(got[10_003 + i] for i in range(3)) + 5
+    assert got[10_000] == pytest.approx(got[10_006], rel=1e-9)
 
 
 # Media
