@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import catalog_database
@@ -108,16 +109,6 @@ def wildcard_terms(spark, d):
     return rounded(search.wildcard(texts(spark, d), "th?[es]*"), "score")
 
 
-@query(f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df, CAST(damerau_levenshtein(term, 'with') AS INT) AS edits FROM tok WHERE damerau_levenshtein(term, 'with') <= 1 GROUP BY term")
-def fuzzy_terms(spark, d):
-    return search.fuzzy_terms(index.terms(texts(spark, d)), "with").select("term", "df", "edits")
-
-
-@query()
-def did_you_mean(spark, d):
-    return search.did_you_mean(index.terms(texts(spark, d)), "wiht")
-
-
 SYN = {"this": 1.0, "that": 1.0, "these": 0.7}
 
 
@@ -129,11 +120,6 @@ def synonym_best_form(spark, d):
     return rounded(search.synonyms(texts(spark, d), SYN), "score")
 
 
-@query()
-def proximity_density(spark, d):
-    return rounded(search.density(texts(spark, d), WORDS), "density")
-
-
 @query(f"WITH {TOKENS} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS docs FROM tok WHERE term IN ('this', 'and', 'with') GROUP BY term")
 def info_words(spark, d):
     return index.postings(texts(spark, d), WORDS).groupBy("term").agg(F.sum("tf").cast("bigint").alias("occurrences"), F.countDistinct("doc_id").alias("docs"))
@@ -180,64 +166,6 @@ def markdown_strip_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", A.markdown_strip(F.col("text")).alias("plain"))
 
 
-@query()
-def url_tokens_pages(spark, d):
-    from .functions.words import url_tokens
-
-    def run(batches):
-        for pdf in batches:
-            pdf["tokens"] = [" ".join(url_tokens(u)) if u else "" for u in pdf["url"]]
-            yield pdf[["page_id", "tokens"]]
-
-    return table(spark, d, "pages").select("page_id", "url").mapInPandas(run, "page_id long, tokens string")
-
-
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderkey >= 100")
-def filter_range_orders(spark, d):
-    return table(spark, d, "orders").where("o_totalprice BETWEEN 1000 AND 50000 AND o_orderkey >= 100").select("o_orderkey", "o_totalprice")
-
-
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'")
-def filter_date_lineitem(spark, d):
-    return table(spark, d, "lineitem").where("l_shipdate >= timestamp '1996-01-01' AND l_shipdate < timestamp '1997-01-01'").select("l_orderkey", "l_linenumber")
-
-
-@query("SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'red')")
-def filter_prefix_part(spark, d):
-    return table(spark, d, "part").where(F.lower("p_name").startswith("red")).select("p_partkey", "p_name")
-
-
-@query("SELECT p_partkey, p_brand FROM part WHERE regexp_matches(lower(p_brand), '^brand.1[0-5]$')")
-def filter_wildcard_part(spark, d):
-    return table(spark, d, "part").where(F.lower("p_brand").rlike(A.wildcard_regex("brand?1[0-5]"))).select("p_partkey", "p_brand")
-
-
-@query("SELECT n_nationkey, n_name FROM nation WHERE lower(trim(n_name)) = 'nation_7'")
-def exact_match_nation(spark, d):
-    return table(spark, d, "nation").where(F.lower(F.trim("n_name")) == "nation_7").select("n_nationkey", "n_name")
-
-
-@query("SELECT doc_id, toxic = 1 AS toxic FROM labels WHERE (toxic = 1) AND NOT (quality = 0)")
-def filter_bool_labels(spark, d):
-    df = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"), (F.col("quality") == 1).alias("good"))
-    return df.where("toxic AND good").select("doc_id", "toxic")
-
-
-@query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents ORDER BY doc_id LIMIT 10")
-def match_all_first10(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lit(0.0).alias("score")).orderBy("doc_id").limit(10)
-
-
-@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
-def strict_sort_two_fields(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy(F.asc_nulls_last("o_orderpriority"), F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(50)
-
-
-@query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 20 OFFSET 40")
-def offset_page(spark, d):
-    return table(spark, d, "customer").orderBy(F.desc_nulls_last("c_acctbal"), "c_custkey").offset(40).limit(20).select("c_custkey", "c_name")
-
-
 @query(bm25_sql(WORDS, ", h AS (SELECT doc_id, sum(score) AS score FROM s GROUP BY doc_id), g AS (SELECT doc_id, score, ln(1 + n_chars) AS v FROM h JOIN documents USING (doc_id)), b AS (SELECT min(v) AS lo, max(v) AS hi, max(score) AS top FROM g) SELECT doc_id, round(score / top * 60 + coalesce((v - lo) / (hi - lo), 0) * 40, 6) AS rank FROM g, b"))
 def blend_sort_log1p(spark, d):
     lengths = table(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("v"))
@@ -278,55 +206,99 @@ def rrf_fuse(spark, d):
     return rounded(search.fuse(lists), "score")
 
 
-@query("SELECT o_custkey, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY o_custkey")
-def numeric_bounds(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+def _events(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
 
 
-@query("SELECT key, count(*) AS documents FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
-def all_fields_props(spark, d):
-    return table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("documents"))
+@query("SELECT CAST(i.id AS BIGINT) AS p_partkey, i.ord, p_name, p_name IS NOT NULL AS found FROM (VALUES (5, 0), (-1, 1), (3, 2), (5, 3)) i(id, ord) LEFT JOIN part ON p_partkey = i.id")
+def lookup_not_found(spark, d):
+    ids = spark.createDataFrame([(5, 0), (-1, 1), (3, 2), (5, 3)], "p_partkey long, ord int")
+    return writes.retrieve(table(spark, d, "part").select("p_partkey", "p_name"), ids, "p_partkey", "ord")
 
 
-def _events(spark, d):
-    return table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+STORED = "FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+BATCH = "FROM events WHERE event_type <> 'view' AND value > 20"
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def _stored(spark, d):
+    """The last view of each user; the other events, a batch, clash with it."""
+    newest = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id")))
+    return _events(spark, d).where("event_type = 'view'").withColumn("n", newest).where("n = 1").drop("n")
+
+
+def _batch(spark, d):
+    return _events(spark, d).where("event_type <> 'view' AND value > 20")
+
+
+@query(f"WITH s AS (SELECT user_id, event_id, event_type, value {STORED}), b AS (SELECT user_id, event_id, event_type, value {BATCH} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) SELECT * FROM b UNION ALL SELECT * FROM s WHERE user_id NOT IN (SELECT user_id FROM b)")
 def upsert_latest_wins(spark, d):
-    e = _events(spark, d)
-    return writes.upsert(e.where("event_id < 0"), e, "user_id", "event_id")
+    return writes.upsert(_stored(spark, d), _batch(spark, d), "user_id", "event_id")
 
 
-@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1")
+@query(f"WITH s AS (SELECT user_id {STORED}), b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n {BATCH}) SELECT user_id, event_id FROM b WHERE n > 1 OR user_id IN (SELECT user_id FROM s)")
 def insert_duplicate_failures(spark, d):
-    e = _events(spark, d)
-    return writes.insert(e.where("event_id < 0"), e, "user_id", "event_id")[1]
+    return writes.insert(_stored(spark, d), _batch(spark, d), "user_id", "event_id")[1]
+
 
+DEAR = "SELECT o_custkey AS c_custkey FROM orders WHERE o_totalprice > 400000"
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def delete_anti(spark, d):
-    ids = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return writes.delete(table(spark, d, "customer").select("c_custkey", "c_name"), ids, "c_custkey")[0]
 
+def _dear(spark, d):
+    return table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
 
-@query("SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+
+@query(f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN ({DEAR})")
+def delete_left(spark, d):
+    return writes.delete(table(spark, d, "customer").select("c_custkey", "c_name"), _dear(spark, d), "c_custkey")[0]
+
+
+@query(f"SELECT c_custkey FROM ({DEAR}) GROUP BY c_custkey HAVING count(*) > 1 OR c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
+def delete_failures(spark, d):
+    return writes.delete(table(spark, d, "customer").where("c_nationkey < 20").select("c_custkey", "c_name"), _dear(spark, d), "c_custkey")[1]
+
+
+def _replaced(spark, d):
+    stored = table(spark, d, "customer").where("c_nationkey < 12").select("c_custkey", F.lit(-1).cast("bigint").alias("o_orderkey"), F.lit(0.0).alias("o_totalprice"))
+    batch = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    return writes.replace(stored, batch, "c_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey, coalesce(o_totalprice, 0) AS o_totalprice FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) ON o_custkey = c_custkey WHERE c_nationkey < 12")
+def replace_stored(spark, d):
+    return _replaced(spark, d)[0]
+
+
+@query("SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
 def replace_not_found(spark, d):
-    stored = table(spark, d, "customer").where("c_nationkey = 3").select("c_custkey")
-    batch = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return batch.join(stored, "c_custkey", "left_anti").distinct()
+    return _replaced(spark, d)[1]
 
 
-@query("SELECT CAST(i.id AS BIGINT) AS p_partkey, i.ord, p_name, p_name IS NOT NULL AS found FROM (VALUES (5, 0), (-1, 1), (3, 2), (5, 3)) i(id, ord) LEFT JOIN part ON p_partkey = i.id")
-def lookup_not_found(spark, d):
-    ids = spark.createDataFrame([(5, 0), (-1, 1), (3, 2), (5, 3)], "p_partkey long, ord int")
-    return writes.retrieve(table(spark, d, "part").select("p_partkey", "p_name"), ids, "p_partkey", "ord")
+@query("SELECT event_id, CASE WHEN event_type <> 'view' THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k, CASE WHEN event_type = 'view' THEN 'patch' ELSE '' END AS by FROM events")
+def partial_replace_props(spark, d):
+    e = table(spark, d, "events")
+    patches = e.where("event_type = 'view'").select("event_id", F.lit('{"k": null, "seen": {"by": "patch"}}').alias("patch"))
+    out = writes.patch(e.select("event_id", "props"), patches, "event_id", "props")
+    return out.select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(-1)).alias("k"), F.coalesce(F.get_json_object("props", "$.seen.by"), F.lit("")).alias("by"))
+
+
+@query(f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df, CAST(damerau_levenshtein(term, 'with') AS INT) AS edits FROM tok WHERE damerau_levenshtein(term, 'with') <= 1 GROUP BY term")
+def fuzzy_terms(spark, d):
+    return search.fuzzy_terms(index.terms(texts(spark, d)), "with").select("term", "df", "edits")
 
 
 @query()
-def partial_replace_props(spark, d):
-    e = table(spark, d, "events").select("event_id", "props")
-    return writes.patch(e, e.select("event_id", F.lit('{"k": null, "seen": {"by": "patch"}}').alias("patch")), "event_id", "props")
+def fuzzy_ranked(spark, d):
+    return rounded(search.selected(search.fuzzy_terms(index.terms(texts(spark, d)), "wiht"), "wiht"), "distance", "rank_score")
+
+
+@query()
+def did_you_mean(spark, d):
+    return rounded(search.did_you_mean(index.terms(texts(spark, d)), "wiht"), "distance", "rank_score")
+
+
+@query()
+def proximity_density(spark, d):
+    return rounded(search.density(texts(spark, d), WORDS), "density")
 
 
 catalog_database.register(query, table, texts, parts, rounded, bm25_sql, TOKENS, PART_TOKENS)

@@ -26,8 +26,8 @@ from .functions.text import wildcard_regex
 from .functions.words import patch_json
 from .operators import search as operators
 from .plans.parse import Node, analyzed, blank, leaves, parse
-from .plans.search import Tables, filtered, forms, ordered, ranked, weight_of
-from .schema import Policy, PolicyError
+from .plans.search import Tables, filtered, forms, limits, ordered, ranked, weight_of
+from .schema import NUMERIC, Policy, PolicyError
 from .sources.json_documents import INDEX_SCHEMA, checked, from_objects, index_rows
 
 DOCS = "key string, source string"
@@ -309,6 +309,18 @@ class Database:
 
         return _mapped(docs, "document", lambda source: json.dumps(cut(json.loads(source), ""), ensure_ascii=False))
 
+    def keys(self, filters: dict | None = None) -> DataFrame:
+        """key of every document that fits all filters; of every one without any."""
+        found = filtered(self.tables, filters)
+        return self.documents().select("key") if found is None else found
+
+    def bounds(self, path: str) -> DataFrame:
+        """lo and hi of a number, date (milliseconds) or boolean over all documents; null without values."""
+        f = self.policy.find(path)
+        if f.kind not in NUMERIC:
+            raise PolicyError(f"{path} is no number")
+        return limits(self.tables, f)
+
     def _tree(self, query: object, analyzer: Analyzer, wildcards: bool) -> Node | None:
         if isinstance(query, str) and (typed := self.dictionary.expand(query.split(), analyzer)):
             return analyzed(typed[0] if len(typed) == 1 else Node("WAND", children=tuple(typed)), analyzer)

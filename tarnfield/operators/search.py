@@ -7,11 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import wildcard_regex
-from ..functions.words import expansion_score, fuzziness, osa, weighted
+from ..functions.words import MARGIN, expansion_score, fuzziness, osa, weighted
 from . import index
 
 PATTERN_TERMS = 128  #: terms a pattern stands for, the most frequent first; part of a pattern's meaning
 RRF_K, RRF_DEPTH = 10, 100
+# Documents from which on a typed word is trusted, how far a correction leads to be sure; a word in up to
+# TYPO_MAX documents is likely a typo of one in TYPO_RATIO times as many.
+TRUSTED, DOMINANCE, CONTEXT_TERMS, CONTEXT_DOMINANCE = 20, 20, 8, 3
+TYPO_MAX, TYPO_RATIO = 500, 20
 
 
 def match(tokens: DataFrame, words: list[str], mode: str = "or", bounds: tuple[int, int] = index.WEIGHT) -> DataFrame:
@@ -79,12 +83,27 @@ def fuzzy_terms(dictionary: DataFrame, word: str, edits: int | None = None, lock
     return near.select("term", "df").mapInPandas(settle, "term string, df long, edits int, distance double, rank_score double")
 
 
-def did_you_mean(dictionary: DataFrame, word: str, trusted: int = 20) -> DataFrame:
-    """The word itself if frequent enough, else corrections within 1.5 of the best, best first."""
-    best = fuzzy_terms(dictionary, word).withColumn("top", F.max("rank_score").over(W.partitionBy()))
-    found = best.where((F.col("rank_score") >= F.col("top") - 1.5) | (F.col("term") == word)).drop("top")
-    known = dictionary.where((F.col("term") == word) & (F.col("df") >= trusted))
-    return found.join(known.agg(F.count("*").alias("known")), F.lit(True)).where((F.col("known") == 0) | (F.col("term") == word)).drop("known").orderBy(F.desc("rank_score"), "term")
+def selected(near: DataFrame, word: str, limit: int = 50) -> DataFrame:
+    """Of fuzzy_terms, the word itself if it is there, and the best corrections within MARGIN of the best of them; best
+    first, ties to the lower term. A dictionary's terms near one word are few, so the window is over little."""
+    best = F.max(F.when(F.col("term") != word, F.col("rank_score"))).over(W.partitionBy())
+    own = F.col("term") == word
+    place = F.row_number().over(W.orderBy(F.desc(own), F.desc("rank_score"), "term"))
+    kept = near.withColumn("_best", best).where(own | (F.col("rank_score") >= F.col("_best") - MARGIN))
+    return kept.withColumn("_place", place).where(F.col("_place") <= limit).drop("_best", "_place").orderBy(F.desc("rank_score"), "term")
+
+
+def confident(best: dict, near: list[dict]) -> bool:
+    """Whether no other term as near as the best correction is nearly as frequent."""
+    return all(best["df"] >= DOMINANCE * x["df"] for x in near if x["term"] != best["term"] and x["edits"] <= best["edits"])
+
+
+def did_you_mean(dictionary: DataFrame, word: str, trusted: int = TRUSTED) -> DataFrame:
+    """term, df, edits, distance, rank_score: the word itself if it is frequent enough to be trusted, else selected corrections."""
+    near = fuzzy_terms(dictionary, word)
+    known = F.max(F.when(F.col("term") == word, F.col("df"))).over(W.partitionBy())
+    near = near.withColumn("_known", F.coalesce(known, F.lit(0)))
+    return selected(near.where((F.col("_known") < trusted) | (F.col("term") == word)).drop("_known"), word)
 
 
 def synonyms(tokens: DataFrame, forms: dict[str, float]) -> DataFrame:

@@ -322,6 +322,11 @@ def sort_spec(policy: Policy, sort: dict) -> tuple[str, list[tuple[Field, bool,
     return mode, out
 
 
+def limits(t: Tables, f: Field) -> DataFrame:
+    """lo and hi of a field over all documents."""
+    return t.of("num", [f]).agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
+
+
 def ordered(t: Tables, found: DataFrame, sort: dict | None) -> tuple[DataFrame, list[Column]]:
     """found (key, tier, level, score) with what it is sorted by, and the order; ties go to the lower key."""
     relevance = [F.asc("tier"), F.asc("level"), F.desc("score"), F.asc("key")]
@@ -329,11 +334,11 @@ def ordered(t: Tables, found: DataFrame, sort: dict | None) -> tuple[DataFrame,
         return found, relevance
     mode, fields = sort_spec(t.policy, sort)
     apply = {"none": lambda c: c, "log1p": F.log1p, "sqrt": F.sqrt}
-    order, total, limits = [], F.lit(0.0), {}
+    order, total = [], F.lit(0.0)
     for i, (f, descending, ratio, modifier) in enumerate(fields):
         values = t.of("num", [f])
         if modifier != "none" or mode == "blend":
-            lo, hi = limits.setdefault(f.path, values.agg(F.min("num"), F.max("num")).first())
+            lo, hi = limits(t, f).first()
             if lo is not None and (modifier == "log1p" and lo <= -1 or modifier == "sqrt" and lo < 0):
                 raise PolicyError(f"{f.path}: values too small for {modifier}")
         pick = (F.max if descending else F.min)(apply[modifier](F.col("num"))).alias(f"v{i}")
