@@ -31,9 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver runs from another folder."""
+    """Lets Python workers import this package when the driver runs from another folder; a task has one core, so numpy has one
+    thread in it (more would wait for each other)."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    env.setdefault("OPENBLAS_NUM_THREADS", "1")
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 

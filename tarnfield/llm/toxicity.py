@@ -25,7 +25,7 @@ EXAMPLES = 1500
 NEIGHBOURS = 30
 BLOCK = 128
 #: Terms in at least one of so many examples are common: their lists have no gaps, and a peak for each block.
-COMMON = 12
+COMMON = 6
 FLOOR = 0.1
 #: A vote weighs cosine / (NEARNESS - cosine).
 NEARNESS = 1.1
