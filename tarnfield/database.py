@@ -23,14 +23,15 @@ from .functions.analysis import Analyzer
 from .functions.highlights import Options, fragments, spans
 from .functions.synonyms import Dictionary
 from .functions.text import wildcard_regex
-from .functions.words import patch_json
+from .functions.words import MARGIN, patch_json
 from .operators import search as operators
 from .plans.parse import Node, analyzed, blank, leaves, parse
-from .plans.search import Tables, filtered, forms, limits, ordered, ranked, weight_of
+from .plans.search import Tables, cascade, filtered, forms, limits, ordered, ranked, weight_of
 from .schema import NUMERIC, Policy, PolicyError
 from .sources.json_documents import INDEX_SCHEMA, checked, from_objects, index_rows
 
 DOCS = "key string, source string"
+TERMS = "field string, term string, rows long, df long"
 MAX_PAGE = 1000
 
 
@@ -65,7 +66,7 @@ class Database:
         with self.fs.open_input_stream(f"{self.root}/manifest-{version:08d}.json") as f:
             self.manifest = json.loads(f.read())
         self.policy, self.dictionary = Policy.parse(self.manifest["policy"]), Dictionary.parse(self.manifest["dictionary"])
-        self.tables = Tables(self._index, self.policy)
+        self.tables = Tables(self._index, self.policy, *self._counted())
 
     def _commit(self, **changes: object) -> None:
         made = self.manifest | changes | {"version": max(self.versions()) + 1}
@@ -137,6 +138,18 @@ class Database:
         ended = reduce(DataFrame.unionByName, ends).groupBy("key").agg(F.max("until").alias("until")).withColumnRenamed("key", "_key")
         return df.join(ended, (F.col("key") == F.col("_key")) & (F.col("seq") < F.col("until")), "left_anti")
 
+    def _counted(self) -> tuple[dict[str, tuple[int, int]] | None, DataFrame | None]:
+        """Totals by field and the dictionary, as segments counted them; None when rows have ended since, or there are none."""
+        segments = [s for s in self.manifest["segments"] if s["rows"]]
+        if not segments or any(s["ended"] for s in self.manifest["segments"]) or any("totals" not in s for s in segments):
+            return None, None
+        totals: dict[str, tuple[int, int]] = {}
+        for s in segments:
+            for path, (n, total) in s["totals"].items():
+                a, b = totals.get(path, (0, 0))
+                totals[path] = (a + n, b + total)
+        return totals, reduce(DataFrame.unionByName, (self.spark.read.schema(TERMS).parquet(self._path(s, "terms")) for s in segments))
+
     def documents(self) -> DataFrame:
         """key, source of every document stored."""
         return self._live("docs", DOCS).drop("seq")
@@ -165,6 +178,7 @@ class Database:
         segment["rows"] = stored.count()
         if segment["rows"]:
             self._write_index(stored, self._path(segment, "index"))
+            segment["totals"] = self._count(segment)
         if ended is not None:
             ended.select("key").distinct().write.parquet(self._path(segment, "ended"))
             segment["ended"] = bool(self.spark.read.schema("key string").parquet(self._path(segment, "ended")).limit(1).count())
@@ -173,6 +187,14 @@ class Database:
     def _write_index(self, docs: DataFrame, path: str) -> None:
         index_rows(docs, self.policy).sortWithinPartitions("kind", "field", "term", "key").write.partitionBy("kind", "field").parquet(path)
 
+    def _count(self, segment: dict) -> dict[str, tuple[int, int]]:
+        """Writes a segment's dictionary, sorted by term; documents and words of each of its fields."""
+        index = self.spark.read.schema(INDEX_SCHEMA).parquet(self._path(segment, "index"))
+        terms = index.where("kind = 'post'").groupBy("field", "term").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("df"))
+        terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(self._path(segment, "terms"))
+        totals = index.where("kind = 'len'").groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+        return {r.field: (r.n, r.total) for r in totals.collect()}  # a row a field
+
     @staticmethod
     def _nth(batch: DataFrame, last: bool) -> DataFrame:
         return batch.withColumn("n", F.row_number().over(W.partitionBy("key", F.isnull("error")).orderBy(F.desc("ordinal") if last else F.asc("ordinal"))))
@@ -254,6 +276,7 @@ class Database:
             rows = self._live("index", INDEX_SCHEMA).drop("seq")
             rows = rows.repartitionByRange("kind", "field", "term", "key") if sort else rows
             rows.sortWithinPartitions("kind", "field", "term", "key").write.partitionBy("kind", "field").parquet(self._path(segment, "index"))
+            segment["totals"] = self._count(segment)
         self._commit(segments=[segment])
 
     def reindex(self) -> None:
@@ -346,10 +369,12 @@ class Database:
         else:
             groups = self._groups(request)
             text = request["query"] if isinstance(request["query"], str) else ""
-            done = [ranked(self.tables, fields, node, request.get("match_mode", "crossfields"), text) for fields, node in groups]
-            if text and done and all(unknown for _, unknown in done):  # a typed word is in no field: its corrections stand in
+            order, mode = cascade(request.get("cascade")), request.get("match_mode", "crossfields")
+            done = [ranked(self.tables, fields, node, mode, text, order) for fields, node in groups]
+            # a typed word is in no field, or likely a typo: its corrections stand in
+            if text and "fuzzy" in order and done and all(unknown for _, unknown in done):
                 groups = [(fields, _fuzzy(node)) for fields, node in groups]
-                done = [ranked(self.tables, fields, node, request.get("match_mode", "crossfields"), text) for fields, node in groups]
+                done = [ranked(self.tables, fields, node, mode, text, order) for fields, node in groups]
             parts = [df for df, _ in done if df is not None]
             empty = self.spark.createDataFrame([], "key string, tier int, level int, score double")
             found = reduce(DataFrame.unionByName, parts) if parts else empty
@@ -420,20 +445,47 @@ class Database:
 
     def _terms(self, fields: list, leaf: Node) -> list:
         if leaf.op == "fuzzy":
-            return operators.fuzzy_terms(self.tables.dictionary(fields), leaf.value).orderBy(F.desc("rank_score"), "term").limit(50).collect()
+            return operators.selected(operators.fuzzy_terms(self.tables.dictionary(fields), leaf.value), leaf.value).collect()
         condition = F.col("term").startswith(leaf.value) if leaf.op == "prefix" else F.col("term").rlike(wildcard_regex(leaf.value))
         return operators.pattern_terms(self.tables.dictionary(fields), condition).collect()
 
-    def suggest(self, text: str, search_fields: list[str] | None = None) -> list[tuple[str, str]]:
-        """(word, correction) of each word that is not frequent enough to be trusted."""
-        out = []
+    def did_you_mean(self, text: str, search_fields: list[str] | None = None, size: int = 3) -> dict:
+        """original, corrected, confident, and words: each corrected word with its suggestions, best first.
+
+        A word in TRUSTED documents is right. An unknown word among known ones is what is found in most documents with all of
+        these; any other correction is sure if no term as near is nearly as frequent.
+        """
         fields = [f for f in self.policy.searched(search_fields) if f.kind == "text"]
-        terms = self.tables.dictionary(fields)
-        for w in text.lower().split():
-            best = operators.did_you_mean(terms, w).first()
-            if best and best.term != w:
-                out.append((w, best.term))
-        return out
+        terms, made = self.tables.dictionary(fields), {}
+        pieces = [(piece, next(iter(self.policy.default.query_tokens(piece)), None)) for piece in text.split()]
+        near = {t.term: [r.asDict() for r in operators.fuzzy_terms(terms, t.term).collect()] for _, t in pieces if t}  # terms near a word
+        context = sorted(w for w, found in near.items() if any(x["term"] == w for x in found))
+        for w, found in near.items():
+            if any(x["term"] == w and x["df"] >= operators.TRUSTED for x in found):
+                continue
+            best = best_of(found, w, max(size, operators.CONTEXT_TERMS))
+            sure = bool(best) and best[0]["term"] != w and operators.confident(best[0], found)
+            if best and context and w not in context:
+                together = self._together([x["term"] for x in best], context, fields)
+                best.sort(key=lambda x: (-together.get(x["term"], 0), x["edits"], -x["df"]))
+                first, second = ([together.get(x["term"], 0) for x in best] + [0])[:2]
+                sure = first >= operators.CONTEXT_DOMINANCE * second if first else sure
+            if best and best[0]["term"] != w:
+                made[w] = ([x["term"] for x in best[:size]], sure)
+        changed = [(t.term, *made[t.term]) for _, t in pieces if t and t.term in made]
+        words = [made[t.term][0][0] if t and t.term in made else piece for piece, t in pieces]
+        return {"original": text, "corrected": " ".join(words) if changed else text, "confident": bool(changed) and all(sure for *_, sure in changed), "words": [{"word": w, "suggestions": some} for w, some, _ in changed]}
+
+    def _together(self, terms: list[str], context: list[str], fields: list) -> dict[str, int]:
+        """Documents that have a term and every word of the context, by term."""
+        posts = self.tables.of("post", fields).select("key", "term")
+        around = posts.where(F.col("term").isin(*context)).groupBy("key").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(context))
+        found = posts.where(F.col("term").isin(*terms)).join(around, "key", "left_semi")
+        return {r.term: r.n for r in found.groupBy("term").agg(F.count_distinct("key").alias("n")).collect()}
+
+    def suggest(self, text: str, search_fields: list[str] | None = None) -> list[tuple[str, str]]:
+        """(word, correction) of each word that did_you_mean corrects."""
+        return [(x["word"], x["suggestions"][0]) for x in self.did_you_mean(text, search_fields)["words"]]
 
     def info_words(self, words: list[str], search_fields: list[str] | None = None) -> DataFrame:
         """word, occurrences, documents, by each field's analyzer."""
@@ -441,7 +493,7 @@ class Database:
         for f in self.policy.searched(search_fields):
             for w in words:
                 for token in self.policy.analyzer_of(f).query_tokens(w):
-                    parts += [df.select(F.lit(w).alias("word"), "key", F.size("positions").alias("tf")) for df, _ in forms(self.tables, [f], Node("term", token.term))]
+                    parts += [df.select(F.lit(w).alias("word"), "key", F.size("positions").alias("tf")) for df, *_ in forms(self.tables, [f], Node("term", token.term))]
         if not parts:
             return self.spark.createDataFrame([], "word string, occurrences long, documents long")
         return reduce(DataFrame.unionByName, parts).groupBy("word").agg(F.sum("tf").alias("occurrences"), F.countDistinct("key").alias("documents"))
@@ -482,6 +534,13 @@ class Database:
         return {"version": self.manifest["version"], "segments": len(self.manifest["segments"]), "documents": self.documents().count(), "terms": self._index("post").select("field", "term").distinct().count(), "bytes": size}
 
 
+def best_of(near: list[dict], word: str, limit: int) -> list[dict]:
+    """As operators.selected, of rows at hand."""
+    others = sorted((x for x in near if x["term"] != word), key=lambda x: (-x["rank_score"], x["term"]))
+    kept = [x for x in near if x["term"] == word] + [x for x in others if x["rank_score"] >= others[0]["rank_score"] - MARGIN]
+    return sorted(kept[:limit], key=lambda x: (-x["rank_score"], x["term"]))
+
+
 def _fuzzy(node: Node) -> Node:
     if node.op == "term":
         return Node("fuzzy", node.value)

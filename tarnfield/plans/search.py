@@ -7,6 +7,7 @@ back as a small table. Postings are cut by kind, field and term at the scan and
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,22 +15,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import wildcard_regex
+from ..functions.words import fuzziness
 from ..operators import index, search
 from ..schema import Field, Policy, PolicyError
 from .parse import COMBINATORS, Node, analyzed, bounds, leaves, parse
 
 MAX_EXPANSIONS = 50
-NEAR = 1.5  #: rank scores this far below the best correction still expand
 NAME_RUN_WORDS = 32
 DEFAULT_RATIO = 40.0
+# Kinds of tiers in their default order; the share of a query's weight that stands for all words when some
+# may be missing; words up to which one may be.
+TIERS = ("name", "exact", "phrase", "fuzzy", "all", "all_but_one", "any")
+MIN_COVERAGE = 0.7
+MAX_ALL_BUT_ONE = 7
+
+
+class Form(NamedTuple):
+    """Hits of a leaf or of one of its forms, what its score is worth, and its term if it has just one."""
+
+    hits: DataFrame
+    worth: float
+    term: str | None = None
 
 
 class Tables:
-    """Live rows of an index by kind, and its field statistics, read once."""
+    """Live rows of an index by kind, and its field statistics, read once.
+
+    totals (documents and words by field) and stored (field, term, rows, df) are what segments counted when they were written;
+    they are None while deleted rows are among them, and then counts come from the postings.
+    """
 
-    def __init__(self, read, policy: Policy) -> None:
-        self.read, self.policy = read, policy
-        self._stats: dict[str, tuple[int, int]] | None = None
+    def __init__(self, read, policy: Policy, totals: dict[str, tuple[int, int]] | None = None, stored: DataFrame | None = None) -> None:
+        self.read, self.policy, self.stored = read, policy, stored
+        self._stats = totals
 
     def of(self, kind: str, fields: list[Field] | None = None) -> DataFrame:
         df = self.read(kind)
@@ -41,7 +59,17 @@ class Tables:
             self._stats = {r.field: (r.n, r.total) for r in self.of("len").groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total")).collect()}  # a row a field
         return self._stats
 
+    def counts(self, fields: list[Field], terms: set[str]) -> dict[tuple[str, str], int] | None:
+        """Postings by field and term, from what segments counted; None if that can't be said without reading them."""
+        if self.stored is None or not terms:
+            return None if self.stored is None else {}
+        here = self.stored.where(F.col("field").isin(*(f.path for f in fields)) & F.col("term").isin(*terms))
+        return {(r.field, r.term): r.rows for r in here.groupBy("field", "term").agg(F.sum("rows").alias("rows")).collect()}  # a row for each asked
+
     def dictionary(self, fields: list[Field]) -> DataFrame:
+        """term, df: documents with a term in one of the fields."""
+        if self.stored is not None and len(fields) == 1:
+            return self.stored.where(F.col("field") == fields[0].path).groupBy("term").agg(F.sum("df").alias("df"))
         return self.of("post", fields).groupBy("term").agg(F.countDistinct("key").alias("df"))
 
 
@@ -53,11 +81,8 @@ def expansions(t: Tables, fields: list[Field], node: Node) -> list[tuple[str, in
     """(term, edits): the typed word if it is known, and the corrections near the best one, best first."""
     o = node.options
     k = o.get("fuzziness", "auto")
-    found = search.fuzzy_terms(t.dictionary(fields), node.value, None if k == "auto" else int(k), int(o.get("prefix_length", 0)))
-    limit = int(o.get("max_expansions", MAX_EXPANSIONS))
-    rows = found.orderBy(F.desc("rank_score"), "term").limit(limit).collect()
-    best = max((r.rank_score for r in rows if r.term != node.value), default=0.0)
-    return [(r.term, r.edits) for r in rows if r.term == node.value or r.rank_score >= best - NEAR]
+    near = search.fuzzy_terms(t.dictionary(fields), node.value, None if k == "auto" else int(k), int(o.get("prefix_length", 0)))
+    return [(r.term, r.edits) for r in search.selected(near, node.value, int(o.get("max_expansions", MAX_EXPANSIONS))).collect()]
 
 
 def chain(df: DataFrame, steps: tuple[tuple[str, int], ...]) -> DataFrame:
@@ -77,39 +102,42 @@ def _step(reach: Column, places: Column, gap: int) -> Column:
     return F.flatten(F.transform(reach, lambda x: F.transform(fitting(x), lambda y: F.struct(x["first"].alias("first"), (y.positions + y.spans).alias("next")))))
 
 
-def forms(t: Tables, fields: list[Field], leaf: Node) -> list[tuple[DataFrame, float]]:
-    """Hits (key, field, row, positions, len) of each form of a leaf, and what its score is worth."""
+def forms(t: Tables, fields: list[Field], leaf: Node) -> list[Form]:
+    """Hits (key, field, row, positions, len) of each form of a leaf."""
     plain = ("key", "field", "row", "positions", "len")
     if leaf.op == "term":
-        return [(postings(t, fields, F.col("term") == leaf.value).select(*plain), 1.0)]
+        return [Form(postings(t, fields, F.col("term") == leaf.value).select(*plain), 1.0, leaf.value)]
     if leaf.op in ("prefix", "wildcard"):
         condition = F.col("term").startswith(leaf.value) if leaf.op == "prefix" else F.col("term").rlike(wildcard_regex(leaf.value))
         chosen = [r.term for r in search.pattern_terms(t.dictionary(fields), condition).collect()]
         df = postings(t, fields, F.col("term").isin(*chosen) if chosen else F.lit(False))
-        return [(df.groupBy("key", "field", "row", "len").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions")).select(*plain), 1.0)]
+        return [Form(df.groupBy("key", "field", "row", "len").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions")).select(*plain), 1.0)]
     if leaf.op == "phrase":
-        return [(chain(postings(t, fields, F.col("term").isin(*{w for w, _ in leaf.steps})), leaf.steps).select(*plain), 1.0)]
+        return [Form(chain(postings(t, fields, F.col("term").isin(*{w for w, _ in leaf.steps})), leaf.steps).select(*plain), 1.0)]
     if leaf.op == "exact":
         df = t.of("exact", fields).where(F.col("term") == leaf.value)
-        return [(df.select("key", "field", "row", F.array(F.lit(0)).alias("positions"), F.lit(1).alias("len")), 1.0)]
+        return [Form(df.select("key", "field", "row", F.array(F.lit(0)).alias("positions"), F.lit(1).alias("len")), 1.0)]
     if leaf.op == "fuzzy":
-        return [(postings(t, fields, F.col("term") == w).select(*plain), 1 / (1 + edits)) for w, edits in expansions(t, fields, leaf)]
+        return [Form(postings(t, fields, F.col("term") == w).select(*plain), 1 / (1 + edits), w) for w, edits in expansions(t, fields, leaf)]
     if leaf.op == "synonym":
-        return [(df, w * worth) for c, w in zip(leaf.children, leaf.weights, strict=True) for part in leaves(c)[:1] for df, worth in forms(t, fields, part)]
+        return [form._replace(worth=w * form.worth) for c, w in zip(leaf.children, leaf.weights, strict=True) for part in leaves(c)[:1] for form in forms(t, fields, part)]
     raise PolicyError(f"{leaf.op} is for filters")
 
 
 def hits(t: Tables, fields: list[Field], clauses: list[Node]) -> tuple[DataFrame | None, dict[tuple[int, str], int]]:
     """(key, field, clause, score, positions), and the documents that each clause has in each field."""
-    parts, worths = [], []
-    for i, leaf in enumerate(clauses):
-        for j, (df, worth) in enumerate(forms(t, fields, leaf)):
-            parts.append(df.withColumns({"clause": F.lit(i), "form": F.lit(j)}))
-            worths.append((i, j, worth))
-    if not parts:
+    made = {(i, j): form for i, leaf in enumerate(clauses) for j, form in enumerate(forms(t, fields, leaf))}
+    if not made:
         return None, {}
-    found = reduce(DataFrame.unionByName, parts)
-    own = {(r.clause, r.form, r.field): r.n for r in found.groupBy("clause", "form", "field").agg(F.count("*").alias("n")).collect()}
+    marked = {ij: form.hits.withColumns({"clause": F.lit(ij[0]), "form": F.lit(ij[1])}) for ij, form in made.items()}
+    found = reduce(DataFrame.unionByName, marked.values())
+    worths = [(i, j, form.worth) for (i, j), form in made.items()]
+    # what segments counted says how many postings a term has; other forms are run once for their number
+    known = t.counts(fields, {form.term for form in made.values() if form.term is not None})
+    own = {} if known is None else {(i, j, f.path): n for (i, j), form in made.items() if form.term is not None for f in fields if (n := known.get((f.path, form.term)))}
+    if rest := [marked[ij] for ij, form in made.items() if known is None or form.term is None]:
+        counted = reduce(DataFrame.unionByName, rest).groupBy("clause", "form", "field").agg(F.count("*").alias("n"))
+        own |= {(r.clause, r.form, r.field): r.n for r in counted.collect()}
     rows, weights = [], {f.path: f.weight for f in fields}
     df: dict[tuple[int, str], int] = {}
     for (i, j, path), n in own.items():
@@ -174,15 +202,58 @@ def density(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("key", "at").mapInArrow(run, "key string, density double")
 
 
-def ranked(t: Tables, fields: list[Field], node: Node, mode: str = "crossfields", text: str = "") -> tuple[DataFrame | None, bool]:
-    """(key, tier, level, score) of what a tree finds in fields with one analyzer, and whether a typed word is unknown.
+def likely_typo(t: Tables, fields: list[Field], word: str, own: int) -> int | None:
+    """Documents with the likely correction of a known word: it is rare, and a word near it is far more frequent."""
+    texts = max((n for n, _ in t.stats.values()), default=0)
+    if not 0 < own <= search.TYPO_MAX or texts < own * search.TYPO_RATIO or not fuzziness(word):
+        return None
+    best = search.fuzzy_terms(t.dictionary(fields), word).where(F.col("term") != word).agg(F.max("df")).first()[0]
+    return best if best is not None and best >= own * search.TYPO_RATIO else None
+
+
+def cascade(spec: dict[str, int] | None) -> list[str]:
+    """Kinds of tiers in their order, the lowest rank first; a kind left out is off, and none given means the default."""
+    if not spec:
+        return list(TIERS)
+    if unknown := set(spec) - set(TIERS):
+        raise PolicyError(f"cascade: no tier {sorted(unknown)[0]}")
+    if len(set(spec.values())) < len(spec):
+        raise PolicyError("cascade: a rank is given twice")
+    return sorted(spec, key=lambda k: spec[k])
+
+
+def admitted(order: list[str], clauses: list[Node], coverage: Column, held: Column, phrase: Column) -> Column:
+    """Whether a document comes from one of the sources of relevance that are on.
+
+    any: it has a word; all: every word, or, with all_but_one for three words or more, MIN_COVERAGE of their weight;
+    all_but_one alone: every word but one; phrase: the words in order. (Stand-ins of fuzzy are clauses as others are.)
+    """
+    n = len(clauses)
+    partial = "all_but_one" in order and 3 <= n <= MAX_ALL_BUT_ONE
+    out = F.lit("any" in order and n > 1)
+    if "all" in order or "fuzzy" in order:
+        out = out | (held >= n) | ((coverage >= MIN_COVERAGE) if partial and "all" in order else F.lit(False))
+    if partial and "all" not in order:
+        out = out | (held >= n - 1)
+    return out | phrase if "phrase" in order and n > 1 else out
+
+
+def ranked(t: Tables, fields: list[Field], node: Node, mode: str = "crossfields", text: str = "", order: list[str] | None = None) -> tuple[DataFrame | None, bool]:
+    """(key, tier, level, score) of what a tree finds in fields with one analyzer, and whether a typed word is unknown or
+    likely a typo.
 
     Score: the sum of BM25, times the squared share of clause weights held, times 1 + density / 2, times 1 + 1.5 of the
-    largest share of the query that is a name. Tiers: 0 the query is a whole name, 1 an exact value, 2 anything else.
+    largest share of the query that is a name. Tiers are places in the order of the cascade: the query is a whole name, it
+    is an exact value, or anything else (the first source of relevance). Typed text only meets the sources that are on.
     """
+    order = order or list(TIERS)
     clauses = leaves(node)
     found, df = hits(t, fields, clauses)
-    unknown = any(c.op == "term" and not any(k == i for k, _ in df) for i, c in enumerate(clauses))
+    typos = {}
+    for i, c in enumerate(clauses):
+        if text and c.op == "term" and (own := max((n for (k, _), n in df.items() if k == i), default=0)) and (better := likely_typo(t, fields, c.value, own)):
+            typos[i] = better
+    unknown = bool(typos) or any(c.op == "term" and not any(k == i for k, _ in df) for i, c in enumerate(clauses))
     if found is None:
         return None, unknown
     columns = [F.sum(F.when(F.col("clause") == i, F.col("score"))).alias(f"c{i}") for i in range(len(clauses))]
@@ -192,19 +263,27 @@ def ranked(t: Tables, fields: list[Field], node: Node, mode: str = "crossfields"
         wide = wide.groupBy("key").agg(F.sum("s").alias("base"), *(F.max(f"c{i}").alias(f"c{i}") for i in range(len(clauses))))
     else:
         wide = found.groupBy("key").agg(*columns).where(holds).withColumn("base", total)
-    weights = [weight_of(t, df, i) for i in range(len(clauses))]
+    # a likely typo weighs as its correction would, or it would hold most of the query's weight by being rare
+    weights = [weight_of(t, {k: max(n, typos.get(i, 0)) for k, n in df.items()}, i) for i in range(len(clauses))]
     rarest = max([w for w in weights if w], default=1.0)
     weights = [w or rarest for w in weights]
     held = reduce(lambda a, b: a + b, (F.when(F.col(f"c{i}").isNotNull(), w).otherwise(0.0) for i, w in enumerate(weights)))
-    out = wide.select("key", "base", (held / sum(weights)).alias("coverage"))
+    mask = reduce(lambda a, b: a + b, (F.col(f"c{i}").isNotNull().cast("int") for i in range(len(clauses))))
+    out = wide.select("key", "base", (held / sum(weights)).alias("coverage"), mask.alias("held"))
+    in_order = F.lit(False)
+    if text and "phrase" in order and "any" not in order and len(clauses) > 1 and all(c.op == "term" for c in clauses):
+        steps = tuple((c.value, 0) for c in clauses)
+        together = reduce(DataFrame.unionByName, (form.hits for form in forms(t, fields, Node("phrase", text, steps=steps)))).select("key", F.lit(True).alias("in_order")).distinct()
+        out, in_order = out.join(together, "key", "left"), F.coalesce("in_order", F.lit(False))
     score = F.col("base") * F.col("coverage") * F.col("coverage")
     if len(clauses) > 1:
         near = density(found.groupBy("key", "field").agg(F.collect_list(F.struct("clause", "positions")).alias("at")), len(clauses))
         out = out.join(near.groupBy("key").agg(F.max("density").alias("density")), "key", "left")
         score = score * (1 + 0.5 * F.coalesce("density", F.lit(0.0)))
     named = [f for f in fields if f.exact and f.kind == "text"]
-    tier, level = F.lit(2), F.lit(0)
-    if text and named:
+    rest = min((i for i, k in enumerate(order) if k not in ("name", "exact")), default=len(TIERS))
+    tier, level = F.lit(rest), F.lit(0)
+    if text and named and {"name", "exact"} & set(order):
         analyzer = t.policy.analyzer_of(named[0])
         words = text.split()
         whole = analyzer.name_key(text)
@@ -221,9 +300,12 @@ def ranked(t: Tables, fields: list[Field], node: Node, mode: str = "crossfields"
             names = t.of("name", named).where(F.col("term").isin(*wanted)).groupBy("key").agg(F.max(share).alias("share"), F.min(F.when(F.col("term") == (whole or ""), F.col("level"))).alias("level"))
             out = out.join(names, "key", "left").join(exact, "key", "left")
             score = score * (1 + 1.5 * F.coalesce("share", F.lit(0.0)))
-            tier = F.when(F.col("level").isNotNull(), 0).when(F.col("is_exact") == 1, 1).otherwise(2)
+            places = [(F.col("level").isNotNull(), "name"), (F.col("is_exact") == 1, "exact")]
+            tier = F.least(F.lit(rest), *(F.when(holds, order.index(k)) for holds, k in places if k in order))
             level = F.coalesce("level", F.lit(0))
     score = F.when(F.isnan(score), 0.0).otherwise(score)
+    if text:
+        out = out.where((tier < rest) | admitted(order, clauses, F.col("coverage"), F.col("held"), in_order))
     return out.select("key", tier.alias("tier"), level.alias("level"), score.alias("score")), unknown
 
 
@@ -248,7 +330,7 @@ def rows_of(t: Tables, f: Field, spec: object) -> DataFrame:
     made = analyzed(node, t.policy.analyzer_of(f))
     if made is None:
         return t.of("len", [f]).where(F.lit(False)).select("key", "row")
-    parts = [df.select("key", "row").withColumn("clause", F.lit(i)) for i, leaf in enumerate(leaves(made)) for df, _ in forms(t, [f], leaf)]
+    parts = [df.select("key", "row").withColumn("clause", F.lit(i)) for i, leaf in enumerate(leaves(made)) for df, *_ in forms(t, [f], leaf)]
     if not parts:
         return t.of("len", [f]).where(F.lit(False)).select("key", "row")
     many = reduce(DataFrame.unionByName, parts)

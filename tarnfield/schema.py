@@ -93,7 +93,11 @@ class Policy:
     def analyzer_of(self, f: Field) -> Analyzer:
         if f.kind != "text":
             return Analyzer(tokenizer="keyword")
-        return self.analyzers.get(f.analyzer) or self.analyzers.get("$default") or Analyzer(stemming="english")
+        return self.analyzers.get(f.analyzer) or self.default
+
+    @property
+    def default(self) -> Analyzer:
+        return self.analyzers.get("$default") or Analyzer(stemming="english")
 
     def searched(self, search_fields: list[str] | None = None) -> list[Field]:
         """Leaves the main query runs against; structs stand for their leaves."""
