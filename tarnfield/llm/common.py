@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterable
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,6 +26,7 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 CHUNK = 1000
 
 _made: list[str] = []
+_written: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +60,22 @@ def shared_dir(spark: SparkSession) -> str:
 def _clean() -> None:
     for path in _made:
         shutil.rmtree(path, ignore_errors=True)
+    clear()
+
+
+def clear() -> None:
+    """Deletes the intermediate tables that this process has written; what reads them can't be computed again."""
+    while _written:
+        path = _written.pop()
+        with contextlib.suppress(OSError, ValueError, pa.ArrowException):  # gone with its folder, or a store that only Spark reaches
+            system, where = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+            system.delete_dir(where)
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A folder for intermediate data in the shared one; deleted by clear(), or when this process ends."""
+    _written.append(path := f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return path
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:

@@ -30,6 +30,8 @@ WIDTH = 192
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
+#: Ranges grow rather than that there are more tasks than this to plan in the driver.
+MOST_TASKS = 50_000
 RETRIES = 4
 SCHEMA = "doc_id long, archive string, member_offset long, n_bytes long, payload binary, media binary"
 MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -126,10 +128,29 @@ def write(docs: DataFrame, folder: str) -> int:
     return sum(r.members for r in rows)
 
 
-class Range(InputPartition):
-    def __init__(self, archive: str, start: int, end: int) -> None:
-        super().__init__((archive, start, end))
-        self.archive, self.start, self.end = archive, start, end
+class Ranges(InputPartition):
+    """(archive, start, end) of what one task reads."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]) -> None:
+        super().__init__(pieces)
+        self.pieces = pieces
+
+
+def planned(archives: list[tuple[str, int]], step: int, most: int = MOST_TASKS) -> list[list[tuple[str, int, int]]]:
+    """Byte ranges of archives, laid end to end and cut every step bytes, or wider so that there are no more than most."""
+    step = max(step, -(-sum(size for _, size in archives) // most))
+    out: list[list[tuple[str, int, int]]] = []
+    left = 0
+    for name, size in archives:
+        at = 0
+        while at < size:
+            if not left:
+                out.append([])
+                left = step
+            n = min(left, size - at)
+            out[-1].append((name, at, at + n))
+            at, left = at + n, left - n
+    return out
 
 
 class Reader(DataSourceReader):
@@ -137,31 +158,34 @@ class Reader(DataSourceReader):
         self.folder = options["path"]
         self.step = int(options.get("rangebytes", RANGE_BYTES))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, path = place(self.folder)
         with system.open_input_stream(f"{path}/_manifest") as f:
             archives = json.loads(f.read())
-        return [Range(name, at, min(at + self.step, size)) for name, size in archives for at in range(0, size, self.step)] or [Range("", 0, 0)]
+        return [Ranges(pieces) for pieces in planned(archives, self.step)] or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, path = place(self.folder)
-        name = f"{path}/{partition.archive}"
-        opener = lambda: system.open_input_file(name)
-        with opener() as f, zipfile.ZipFile(f) as z:
-            members = [(m.header_offset, m.filename, m.compress_size, m.CRC) for m in z.infolist() if partition.start <= m.header_offset < partition.end]
-        rows, held = [], 0
-        with opener() as f:
-            for at, member, size, crc in members:
-                n, data, media = read_member(f, opener, at, size, crc)
-                rows.append((int(x) if (x := member.partition("~")[0]) else None, partition.archive, at, n, data, media))
-                held += len(data) + len(media)
-                if held >= BATCH_BYTES:
-                    yield batch(rows)
-                    rows, held = [], 0
-        if rows:
-            yield batch(rows)
+        for archive, start, end in partition.pieces:
+            yield from read_range(system, f"{path}/{archive}", archive, start, end)
+
+
+def read_range(system: fs.FileSystem, name: str, archive: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    """The members whose header lies in a range of an archive."""
+    opener = lambda: system.open_input_file(name)
+    with opener() as f, zipfile.ZipFile(f) as z:
+        members = [(m.header_offset, m.filename, m.compress_size, m.CRC) for m in z.infolist() if start <= m.header_offset < end]
+    rows, held = [], 0
+    with opener() as f:
+        for at, member, size, crc in members:
+            n, data, media = read_member(f, opener, at, size, crc)
+            rows.append((int(x) if (x := member.partition("~")[0]) else None, archive, at, n, data, media))
+            held += len(data) + len(media)
+            if held >= BATCH_BYTES:
+                yield batch(rows)
+                rows, held = [], 0
+    if rows:
+        yield batch(rows)
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -218,6 +242,7 @@ def digest(docs: DataFrame) -> DataFrame:
     media_bytes, media_sha256, feature.
 
     Null texts are as empty ones: one row of 192 blanks. Rows without doc_id and repeated rows have members of their own.
+    An empty table gives none; columns beside doc_id and text are not read.
     """
     spark = docs.sparkSession
     write(docs, folder := new_folder(spark, "media"))

@@ -94,7 +94,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
-    """The columns of documents with a row for each copy, whole documents, range-sorted by copy's position."""
+    """The columns of documents with a row for each copy, whole documents, range-sorted by copy's position.
+
+    Documents without words (null, empty, blank texts) go, as do those that their source's target leaves out. Null sources are
+    a source of their own, the last; repeated rows count one by one; equal positions are in order of doc_id, nulls first.
+    An empty table gives none; columns beside those of documents are dropped.
+    """
     df = plan(sized(docs, "text", "lang", "n_chars"), whole=True)
     passes = F.col("full") + F.when((F.col("rest") > 0), 1).otherwise(0)
     df = df.where((F.col("size") > 0) & (passes > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(0), (passes - 1).cast("int"))))

@@ -11,7 +11,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from tarnfield.llm import language, licenses, lm, media, mixing, packing, quality, queries, secrets, simhash, toxicity
+from tarnfield.llm import common, language, licenses, lm, media, mixing, packing, quality, queries, secrets, simhash, toxicity
 from tarnfield.llm.common import documents
 
 from ..conftest import SF
@@ -473,11 +473,6 @@ def test_toxicity_without_labels(spark):
     assert all(r.score > 0.9 for r in toxicity.digest(docs, only).collect())
 
 
-@pytest.fixture(scope="module")
-def lm_model(spark):
-    return lm.train(documents(spark, SF))
-
-
 def slow_log_probability(net, before, target, after):
     """Of one word, in doubles, from the definition."""
     x = net.bias.astype(float)
@@ -583,6 +578,25 @@ def test_media_ranges_take_each_member_once(spark, tmp_path, step):
     assert Counter(r.doc_id for r in media.read(spark, f"file://{tmp_path}/m", step).select("doc_id").collect()) == Counter(range(200))
 
 
+def test_media_plans_a_bounded_number_of_tasks():
+    archives = [(f"a{i}", 1000 + i) for i in range(50)]
+    for step, most in ((100, 10**6), (1700, 10**6), (100, 7), (10**9, 5)):
+        got = media.planned(archives, step, most)
+        assert len(got) <= most and [(n, sum(e - s for p in got for a, s, e in p if a == n)) for n, _ in archives] == archives
+        assert all(a < b for p in got for _, a, b in p)
+    assert media.planned([], 100) == []
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    import os
+
+    kept = common.stash(spark.range(3), "some")
+    path = common._written[-1].removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(path)
+    common.clear()
+    assert not os.path.isdir(path)
+
+
 def test_media_reads_a_broken_member_again(tmp_path):
     import io
     import zipfile
