@@ -166,7 +166,7 @@ def markdown_strip_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", A.markdown_strip(F.col("text")).alias("plain"))
 
 
-@query(bm25_sql(WORDS, ", h AS (SELECT doc_id, sum(score) AS score FROM s GROUP BY doc_id), g AS (SELECT doc_id, score, ln(1 + n_chars) AS v FROM h JOIN documents USING (doc_id)), b AS (SELECT min(v) AS lo, max(v) AS hi, max(score) AS top FROM g) SELECT doc_id, round(score / top * 60 + coalesce((v - lo) / (hi - lo), 0) * 40, 6) AS rank FROM g, b"))
+@query(bm25_sql(WORDS, ", h AS (SELECT doc_id, sum(score) AS score FROM s GROUP BY doc_id), g AS (SELECT doc_id, score, ln(1 + n_chars) AS v FROM h JOIN documents USING (doc_id)), b AS (SELECT min(v) AS lo, max(v) AS hi, max(score) AS top FROM g) SELECT doc_id, round((1 + score / top) / 2 * 60 + coalesce((v - lo) / (hi - lo), 0) * 40, 6) AS rank FROM g, b"))
 def blend_sort_log1p(spark, d):
     lengths = table(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("v"))
     return rounded(search.blend(search.match(texts(spark, d), WORDS).join(lengths, "doc_id"), "v"), "rank")

@@ -154,12 +154,12 @@ def density(tokens: DataFrame, words: list[str]) -> DataFrame:
 
 
 def blend(hits: DataFrame, field: str, ratio: float = 40.0) -> DataFrame:
-    """hits (doc_id, score, field) with rank: shares of the normalised score and of the field between its bounds; a missing
-    value adds nothing."""
+    """hits (doc_id, score, field) of one tier, with rank: the midpoint of 1, the tier's place, and of the share of the best
+    score, and the field between its bounds (1 if these are equal, 0 if it is missing)."""
     bounds = hits.agg(F.min(field).alias("lo"), F.max(field).alias("hi"), F.max("score").alias("top"))
     df = hits.crossJoin(F.broadcast(bounds))  # one row
-    norm = F.when(F.col("hi") > F.col("lo"), (F.col(field) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return df.select("doc_id", ((F.col("score") / F.col("top")) * (100 - ratio) + F.coalesce(norm, F.lit(0.0)) * ratio).alias("rank"))
+    norm = F.when(F.col("hi") > F.col("lo"), (F.col(field) - F.col("lo")) / (F.col("hi") - F.col("lo"))).when(F.col(field).isNotNull(), 1.0)
+    return df.select("doc_id", ((1 + F.col("score") / F.col("top")) / 2 * (100 - ratio) + F.coalesce(norm, F.lit(0.0)) * ratio).alias("rank"))
 
 
 def nearest(vectors: DataFrame, key: str, column: str, query: list[float], k: int) -> DataFrame:

@@ -11,7 +11,6 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import wildcard_regex
@@ -429,14 +428,21 @@ def ordered(t: Tables, found: DataFrame, sort: dict | None) -> tuple[DataFrame,
         order.append(F.desc_nulls_last(v) if descending else F.asc_nulls_last(v))
         if mode == "blend" and lo is not None:
             a, b = (x[0] for x in (found.sparkSession.range(1).select(apply[modifier](F.lit(float(y)))).first() for y in (lo, hi)))
-            norm = (v - a) / (b - a) if b > a else F.lit(0.0)
-            total = total + F.coalesce(norm if descending else 1 - norm, F.lit(0.0)) * ratio
+            norm = (v - a) / (b - a) if b > a else None
+            part = F.lit(1.0) if norm is None else norm if descending else 1 - norm
+            total = total + F.when(v.isNull(), 0.0).otherwise(part) * ratio
     if mode == "strict":
         return found, [F.asc("tier"), *order, *relevance[2:]]
-    top = found.agg(F.max("score")).first()[0] or 0.0
-    relevant = F.col("score") / top if top else F.lit(0.0)
-    return found.withColumn("rank", relevant * (100 - sum(r for *_, r, _ in fields)) + total), [F.asc("tier"), F.asc("level"), F.desc("rank"), F.asc("key")]
-
-
-def latest(df: DataFrame, by: str = "key") -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(F.desc("seq")))).where("_n = 1").drop("_n")
+    return found.withColumn("rank", relevance_of(found) * (100 - sum(r for *_, r, _ in fields)) + total), [F.desc("rank"), F.asc("key")]
+
+
+def relevance_of(found: DataFrame) -> Column:
+    """Midpoint of a document's place among the tiers that are present, the first 1 and the last 0, and of its share of the
+    best score in its tier."""
+    tiers = found.groupBy("tier", "level").agg(F.max("score").alias("best")).orderBy("tier", "level").collect()  # a row a tier
+    place, share = F.lit(0.0), F.lit(0.0)
+    for i, r in enumerate(tiers):
+        here = (F.col("tier") == r.tier) & (F.col("level") == r.level)
+        place = F.when(here, 1.0 - i / max(1, len(tiers) - 1)).otherwise(place)
+        share = F.when(here, F.col("score") / r.best if r.best and r.best > 0 else F.lit(0.0)).otherwise(share)
+    return (place + share) / 2

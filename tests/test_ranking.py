@@ -93,3 +93,22 @@ def test_order_of_tiers(db):
     for bad in ({"odd": 1}, {"any": 1, "all": 1}):
         with pytest.raises(PolicyError):
             db.search({"query": "oat", "cascade": bad})
+
+
+def test_blend_of_tiers_and_scores(db):
+    """The midpoint of a hit's place among the tiers and its share of its tier's best score, and the field's share."""
+    from tarnfield.plans.search import ordered
+
+    spark = db.spark
+    found = spark.createDataFrame([("x", 0, 0, 8.0), ("y", 2, 0, 4.0), ("z", 2, 0, 1.0), ("w", 1, 1, 3.0)], "key string, tier int, level int, score double")
+    policy = {"document": {"id": "id", "n": "int", "same": "int"}}
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        other = Database.create(spark, f"{d}/n", policy)
+        other.insert([{"id": "x", "n": 0, "same": 5}, {"id": "y", "n": 10, "same": 5}, {"id": "z", "n": 5}])
+        out, order = ordered(other.tables, found, {"n": {"ratio": 20}})
+        assert {r.key: round(r.rank, 6) for r in out.collect()} == {"x": 80.0, "w": 60.0, "y": 40 + 20, "z": 10 + 10}
+        assert [r.key for r in out.orderBy(*order).collect()] == ["x", "w", "y", "z"]
+        out, _ = ordered(other.tables, found, {"same": {"ratio": 10, "order": "asc"}})
+        assert {r.key: round(r.rank, 6) for r in out.collect()} == {"x": 100.0, "w": 67.5, "y": 55.0, "z": 11.25}
