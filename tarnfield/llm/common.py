@@ -95,7 +95,7 @@ def n_words(text: Column) -> Column:
 
 
 def map_texts(df: DataFrame, columns: Iterable[str], fn: Callable, schema: str, chunk: int = CHUNK) -> DataFrame:
-    """fn(lists of the columns' values) gives lists of the output's columns; runs over Arrow batches, chunk rows at once."""
+    """fn(lists of the columns' values) gives lists or Arrow arrays of the output's columns; runs over Arrow batches, chunk rows at once."""
     ship(df.sparkSession)
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
@@ -105,6 +105,6 @@ def map_texts(df: DataFrame, columns: Iterable[str], fn: Callable, schema: str,
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
                 out = fn(*(c.to_pylist() for c in part.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, kind)

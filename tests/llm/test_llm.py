@@ -520,7 +520,7 @@ def test_lm_network_predicts_held_out_texts(spark):
     known, rest = spark.createDataFrame([(i, t) for i, t in enumerate(texts[::2])], "doc_id long, text string"), texts[1::2]
     model = lm.train(known)
     targets = lm.Targets(model.own)
-    x, y = lm.windows([[targets[w] for w in lm.words(t)] for t in rest])
+    x, y = lm.windows([targets.ids(lm.words(t)) for t in rest])
     shares = lm.log_probabilities(lm.fresh(model.totals), x, y).mean()
     edges = lm.log_probabilities(model.network, np.full_like(x, lm.EDGE), y).mean()
     got = lm.log_probabilities(model.network, x, y).mean()
