@@ -4,16 +4,17 @@ Every word is predicted from the four words on either side. The targets are the
 words, groups by ending; within its group a word has its share of the group's words by its count in all other texts, so a
 text is never scored by its own copies of a rare word. The softmax over targets is factored: a cluster, then a target in it.
 
-The network is trained in numpy: from START texts on the driver, then from all texts, each task going on from there with the
-windows of its own texts, and the parameters are averaged by numbers of windows. Word counts are gathered from all texts.
+The network is trained in numpy: from START texts on the driver, then from every word of all texts, each task going on from
+there with all windows of its own texts, and the parameters are averaged by numbers of windows. Word counts are gathered from
+all texts. Windows that follow each other share their inputs, so texts are laid in a line and each place's vector is read once.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, compress
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -34,10 +35,10 @@ SIDE, HIDDEN = 4, 32
 #: Texts (by hash of the text) that training starts from, windows in a step, and passes over the start.
 START, BATCH, PASSES = 1000, 2048, 3
 RATE = 0.08
-#: Of every text, one window in so many is trained on after the start; which ones is a matter of their place alone.
-EVERY = 8
 #: Words whose windows a task holds at once, and words scored in a step, which stays in a core's cache.
-WORDS_AT_ONCE, SCORED = 1 << 16, 1 << 13
+WORDS_AT_ONCE, SCORED = 1 << 16, 1 << 11
+#: Where the inputs of a window stand, from its target.
+PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1))
 #: The most frequent words, whose counts are broadcast. Those of all other words are joined.
 VOCABULARY = 20_000
 #: Words held by a task before they are handed on, and kept for lookup.
@@ -58,23 +59,25 @@ def ending(word: bytes) -> int:
     return OWN + zlib.crc32(word[-3:]) % ENDINGS
 
 
+class Endings(dict):
+    """Targets of last letters; looks up what it has not seen."""
+
+    def __missing__(self, last: bytes) -> int:
+        if len(self) > HELD:
+            self.clear()
+        self[last] = k = ending(last)
+        return k
+
+
 class Targets:
     """Targets of words: their own, or that of their ending."""
 
     def __init__(self, own: dict[bytes, int]) -> None:
-        self.own, self.ends = own, {}
+        self.own, self.ends = own, Endings()
 
     def ids(self, found: list[bytes]) -> list[int]:
-        own, end = self.own.get, self.end
-        return [k if (k := own(w)) is not None else end(w) for w in found]
-
-    def end(self, word: bytes) -> int:
-        last = word[-3:]
-        if (k := self.ends.get(last)) is None:
-            if len(self.ends) > HELD:
-                self.ends.clear()
-            self.ends[last] = k = ending(last)
-        return k
+        own, ends = self.own.get, self.ends
+        return [k if (k := own(w)) is not None else ends[w[-3:]] for w in found]
 
 
 class Network(NamedTuple):
@@ -113,17 +116,31 @@ def fresh(totals: np.ndarray, seed: int = 7) -> Network:
     return Network(normal(TARGETS + 1, HIDDEN), np.ones((2 * SIDE, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32), normal(HIDDEN, CLUSTERS) * 0.1, np.log(n.sum(axis=1) / n.sum()).astype(np.float32), normal(CLUSTERS, HIDDEN, EACH) * 0.1, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def windows(texts: list[list[int]], every: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (SIDE words before, then after) and target of each word, or of one in so many; beyond a text's ends are EDGEs."""
+def line(texts: list[list[int]]) -> np.ndarray:
+    """Targets of texts one after the other; SIDE EDGEs before, between and after them."""
     pad = [EDGE] * SIDE
     flat = list(pad)
     for t in texts:
         flat += t
         flat += pad
-    ids = np.array(flat, np.int32)
-    at = np.flatnonzero(ids != EDGE)[::every]
-    places = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-    return ids[at[:, None] + places], ids[at]
+    return np.array(flat, np.int16)
+
+
+def pieces(ids: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of a line with so many targets (the last has what is left), and where in a piece they stand. The first and the
+    last SIDE places of a line or piece are inputs only."""
+    at = SIDE + np.flatnonzero(ids[SIDE:-SIDE] != EDGE)
+    for lo in range(0, len(at), size):
+        part = at[lo : lo + size]
+        first = part[0] - SIDE
+        yield ids[first : part[-1] + SIDE + 1], part - first
+
+
+def windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (SIDE words before, then after) and target of each word; beyond a text's ends are EDGEs."""
+    ids = line(texts)
+    at = np.flatnonzero(ids != EDGE)
+    return ids[at[:, None] + np.array(PLACES)].astype(np.int32), ids[at].astype(np.int32)
 
 
 def portions(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
@@ -147,64 +164,160 @@ def _hidden(net: Network, inputs: np.ndarray) -> np.ndarray:
     return np.tanh(x, out=x)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def _by_cluster(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    cluster = targets // EACH
-    order = np.argsort(cluster, kind="stable")
-    for run in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-        if len(run):
-            yield int(cluster[run[0]]), run
+def _hidden_along(net: Network, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of all places of a piece, and the hidden layer at those that can be targets."""
+    e = net.embed[ids]
+    n = len(ids) - 2 * SIDE
+    x = np.broadcast_to(net.bias, (n, HIDDEN)).copy()
+    part = np.empty_like(x)
+    for j, d in enumerate(PLACES):
+        x += np.multiply(e[SIDE + d : SIDE + d + n], net.gain[j], out=part)
+    return e, np.tanh(x, out=x)
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) but for a factor a row, in place of z, and the sums of rows."""
+    z = _small(z)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
+
+
+def _small(z: np.ndarray) -> np.ndarray:
+    """z, less the largest of each row if sums of exp(z) could leave the range of floats."""
+    if max(z.max(initial=0), -z.min(initial=0)) > 80:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _by_cluster(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order by cluster, and (cluster, from, to) in it of clusters that occur."""
+    cluster = (targets // EACH).astype(np.uint8)  # sorted by counting
+    ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS)).tolist()
+    return np.argsort(cluster, kind="stable"), [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)) if lo < hi]
+
+
+def _inside(net: Network, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Scores of the targets of each row's cluster; rows in order of clusters."""
+    z = np.empty((len(h), EACH), np.float32)
+    for c, lo, hi in runs:
+        part = np.matmul(h[lo:hi], net.inside[c], out=z[lo:hi])
+        part += net.inside_bias[c]
+    return z
+
+
+def _of_targets(net: Network, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Log-probability of each row's target."""
+    rows = np.arange(len(targets))
+    order, runs = _by_cluster(targets)
+    out = np.empty(len(targets), np.float64)
+    for z, at, k in ((h @ net.cluster + net.cluster_bias, rows, targets // EACH), (_inside(net, h[order], runs), order, targets[order] % EACH)):
+        own = _small(z)[rows, k]
+        own -= np.log(_exp(z)[1])
+        if at is rows:
+            out[:] = own
+        else:
+            out[at] += own
+    return out
 
 
 def log_probabilities(net: Network, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Of each target given its window."""
-    out = np.zeros(len(targets), np.float64)
-    for lo in range(0, len(targets), SCORED):
-        x, y = inputs[lo : lo + SCORED], targets[lo : lo + SCORED]
-        h = _hidden(net, x)
-        out[lo : lo + len(y)] = _log_softmax(h @ net.cluster + net.cluster_bias)[np.arange(len(y)), y // EACH]
-        for c, at in _by_cluster(y):
-            out[lo + at] += _log_softmax(h[at] @ net.inside[c] + net.inside_bias[c])[np.arange(len(at)), y[at] % EACH]
-    return out
+    steps = range(0, len(targets), SCORED)
+    return np.concatenate([_of_targets(net, _hidden(net, inputs[lo : lo + SCORED]), targets[lo : lo + SCORED]) for lo in steps] or [np.zeros(0)])
 
 
-def step(net: Network, seen: Network, inputs: np.ndarray, targets: np.ndarray) -> None:
-    """One step of gradient descent on the mean negative log-probability, each parameter at a rate by the squares of its
-    gradients so far (seen)."""
+def log_probabilities_along(net: Network, ids: np.ndarray) -> np.ndarray:
+    """Of each target of a line given its window."""
+    return np.concatenate([_of_targets(net, _hidden_along(net, piece)[1][at - SIDE], piece[at]) for piece, at in pieces(ids, SCORED)] or [np.zeros(0)])
+
+
+def _back(net: Network, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Gradients of the mean negative log-probability: by the hidden layer before tanh, and by the layers above it."""
     n = len(targets)
-    h = _hidden(net, inputs)
-    dz = np.exp(_log_softmax(h @ net.cluster + net.cluster_bias))
-    dz[np.arange(n), targets // EACH] -= 1
-    dz /= n
+    order, runs = _by_cluster(targets)
+    rows, h, targets = np.arange(n), h[order], targets[order]
+    dz, sums = _exp(h @ net.cluster + net.cluster_bias)
+    dz *= (1 / (n * sums))[:, None]
+    dz[rows, targets // EACH] -= 1 / n
     dh = dz @ net.cluster.T
     inside, inside_bias = np.zeros_like(net.inside), np.zeros_like(net.inside_bias)
-    for c, at in _by_cluster(targets):
-        d = np.exp(_log_softmax(h[at] @ net.inside[c] + net.inside_bias[c]))
-        d[np.arange(len(at)), targets[at] % EACH] -= 1
-        d /= n
-        inside[c], inside_bias[c] = h[at].T @ d, d.sum(axis=0)
-        dh[at] += d @ net.inside[c].T
-    dx = (1 - h * h) * dh
-    embed, gain = np.zeros_like(net.embed), np.zeros_like(net.gain)
-    for j in range(2 * SIDE):
-        gain[j] = (dx * net.embed[inputs[:, j]]).sum(axis=0)
-    where, values = inputs.T.ravel(), np.concatenate([dx * net.gain[j] for j in range(2 * SIDE)])
-    for k in range(HIDDEN):
-        embed[:, k] = np.bincount(where, values[:, k], len(embed))
-    for p, s, g in zip(net, seen, (embed, gain, dx.sum(axis=0), h.T @ dz, dz.sum(axis=0), inside, inside_bias), strict=True):
+    d, sums = _exp(_inside(net, h, runs))
+    d *= (1 / (n * sums))[:, None]
+    d[rows, targets % EACH] -= 1 / n
+    inside_bias[[c for c, *_ in runs]] = np.add.reduceat(d, [lo for _, lo, _ in runs], axis=0)
+    for c, lo, hi in runs:
+        np.matmul(h[lo:hi].T, d[lo:hi], out=inside[c])
+        dh[lo:hi] += d[lo:hi] @ net.inside[c].T
+    dx = np.empty_like(dh)
+    dx[order] = (1 - h * h) * dh
+    return dx, (dx.sum(axis=0), h.T @ dz, dz.sum(axis=0), inside, inside_bias)
+
+
+def _sums(where: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different places and the sums of their rows."""
+    order = np.argsort(where.astype(np.int16), kind="stable")  # sorted by counting
+    where = where[order]
+    first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    return where[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def _descend(net: Network, seen: Network, rows: np.ndarray, embed: np.ndarray, *others: np.ndarray) -> None:
+    """Each parameter at a rate by the squares of its gradients so far (seen); embed: of those rows, the others' is 0."""
+    s = seen.embed[rows] + embed * embed
+    seen.embed[rows] = s
+    net.embed[rows] -= RATE * embed / (np.sqrt(s) + 1e-6)
+    for p, s, g in zip(net[1:], seen[1:], others, strict=True):
         s += g * g
         p -= RATE * g / (np.sqrt(s) + 1e-6)
 
 
+def step(net: Network, seen: Network, inputs: np.ndarray, targets: np.ndarray) -> None:
+    """One step of gradient descent on the mean negative log-probability of targets given their windows."""
+    dx, above = _back(net, _hidden(net, inputs), targets)
+    gain = np.stack([(dx * net.embed[inputs[:, j]]).sum(axis=0) for j in range(2 * SIDE)])
+    _descend(net, seen, *_sums(inputs.T.ravel(), np.concatenate([dx * net.gain[j] for j in range(2 * SIDE)])), gain, *above)
+
+
+def step_along(net: Network, seen: Network, ids: np.ndarray, at: np.ndarray) -> None:
+    """The same step for the windows of a piece of a line."""
+    e, h = _hidden_along(net, ids)
+    n = len(h)
+    part, above = _back(net, h if len(at) == n else h[at - SIDE], ids[at])
+    if len(at) == n:
+        dx = part
+    else:
+        dx = np.zeros_like(h)
+        dx[at - SIDE] = part
+    by_place, held, gain = np.zeros_like(e), np.empty_like(dx), np.empty_like(net.gain)
+    for j, d in enumerate(PLACES):
+        here = slice(SIDE + d, SIDE + d + n)
+        gain[j] = np.einsum("ij,ij->j", dx, e[here])
+        by_place[here] += np.multiply(dx, net.gain[j], out=held)
+    _descend(net, seen, *_sums(ids, by_place), gain, *above)
+
+
 def train_on(net: Network, seen: Network, inputs: np.ndarray, targets: np.ndarray) -> None:
     for lo in range(0, len(targets), BATCH):
         step(net, seen, inputs[lo : lo + BATCH], targets[lo : lo + BATCH])
 
 
+def train_along(net: Network, seen: Network, lines: Iterable[np.ndarray]) -> int:
+    """Steps over every window of lines, BATCH at once; what a line leaves goes with the next. Returns their number."""
+    n, rest = 0, line([])
+    for ids in lines:
+        rest, whole = line([]), np.concatenate((rest, ids[SIDE:]))
+        for piece, at in pieces(whole, BATCH):
+            if len(at) < BATCH:
+                rest = piece
+            else:
+                step_along(net, seen, piece, at)
+                n += BATCH
+    for piece, at in pieces(rest, BATCH):
+        step_along(net, seen, piece, at)
+        n += len(at)
+    return n
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
@@ -261,7 +374,7 @@ def _start(docs: DataFrame) -> list[str]:
 
 
 def _refined(docs: DataFrame, own: dict[bytes, int], net: Network, seen: Network) -> Network:
-    """The mean, by windows, of what each task makes of a network with the windows of its texts."""
+    """The mean, by windows, of what each task makes of a network with all windows of its texts."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((own, net, seen))  # bounded by TARGETS and HIDDEN
     kind = _parse_datatype_string("piece int, part int, n long, sums array<double>")
@@ -269,26 +382,14 @@ def _refined(docs: DataFrame, own: dict[bytes, int], net: Network, seen: Network
 
     def run(batches):
         own, net, seen = shared.value
-        net, seen, targets, n = net.copy(), seen.copy(), Targets(own), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                for found in portions(batch.column(0).slice(at, CHUNK).to_pylist()):
-                    held.append(windows([targets.ids(f) for f in found], EVERY))
-                    rows += len(held[-1][1])
-                    if rows >= BATCH:
-                        x, y = (np.concatenate(c) for c in zip(*held, strict=True))
-                        whole = rows - rows % BATCH
-                        train_on(net, seen, x[:whole], y[:whole])
-                        n, rows, held = n + whole, rows - whole, [(x[whole:], y[whole:])]
-        if rows:
-            train_on(net, seen, *(np.concatenate(c) for c in zip(*held, strict=True)))
-        if n + rows:
-            flat = net.flat().astype(np.float64) * (n + rows)
-            pieces = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
+        net, seen, targets = net.copy(), seen.copy(), Targets(own)
+        texts = (batch.column(0).slice(at, CHUNK).to_pylist() for batch in batches for at in range(0, batch.num_rows, CHUNK))
+        n = train_along(net, seen, (line([targets.ids(f) for f in found]) for held in texts for found in portions(held)))
+        if n:
+            flat = net.flat().astype(np.float64) * n
+            cut = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
             part = zlib.crc32(flat.tobytes()) % GROUPS
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((range(len(pieces)), [part] * len(pieces), [n + rows] * len(pieces), [p.tolist() for p in pieces]), arrow, strict=True)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((range(len(cut)), [part] * len(cut), [n] * len(cut), [p.tolist() for p in cut]), arrow, strict=True)], schema=arrow)
 
     def add(table: pa.Table) -> pa.Table:
         sums = np.zeros(len(table.column("sums")[0]))
@@ -300,10 +401,10 @@ def _refined(docs: DataFrame, own: dict[bytes, int], net: Network, seen: Network
     made = docs.select("text").mapInArrow(run, kind)
     for keys in (["piece", "part"], ["piece"]):
         made = made.groupBy(*keys).applyInArrow(add, kind)
-    pieces = sorted(stash(made, "network").collect(), key=lambda r: r.piece)  # as long as the network
-    if not pieces:
+    found = sorted(stash(made, "network").collect(), key=lambda r: r.piece)  # as long as the network
+    if not found:
         return net
-    return net.filled(np.concatenate([np.array(r.sums) for r in pieces]) / pieces[0].n)
+    return net.filled(np.concatenate([np.array(r.sums) for r in found]) / found[0].n)
 
 
 def train(docs: DataFrame) -> Model:
@@ -337,25 +438,27 @@ def _parts(found: list[list[bytes]], model: Model, targets: Targets) -> tuple[np
     """Of each text, given by its words: their number, the sum of log-probabilities but for the counts of words that are not
     in model.counts, and these words with how often they occur."""
     sizes = np.array([len(f) for f in found], np.int64)
-    x, y = windows([targets.ids(f) for f in found])
+    ids = line([targets.ids(f) for f in found])
+    y = ids[ids != EDGE].astype(np.int64)
     text = np.repeat(np.arange(len(found)), sizes)
-    totals = np.bincount(text, log_probabilities(model.network, x, y), len(found)).astype(np.float64)
-    rare = y >= OWN
-    code: dict[bytes, int] = {}
-    codes = np.array([code.setdefault(w, len(code)) for w in compress(chain.from_iterable(found), rare.tolist())], np.int64)
-    known = np.fromiter((model.counts.get(w, -1) for w in code), np.int64, len(code))
-    length = np.fromiter(map(len, code), np.int64, len(code))
-    target = np.zeros(len(code), np.int64)
-    target[codes] = y[rare]
-    distinct, n = np.unique(text[rare] * max(1, len(code)) + codes, return_counts=True)
-    text, at = np.divmod(distinct, max(1, len(code)))
-    groups, which = np.unique(text * TARGETS + target[at], return_inverse=True)
-    held = np.bincount(which, n, len(groups))
-    totals -= np.bincount(groups // TARGETS, held * np.log(model.totals[groups % TARGETS] - held + 1), len(found))
-    elsewhere = np.where(known[at] > n, np.log(np.maximum(known[at] - n, 1)), SPELLED * length[at])
-    here = known[at] >= 0
+    totals = np.bincount(text, log_probabilities_along(model.network, ids), len(found)).astype(np.float64)
+    rare, lo, own = (y >= OWN).tolist(), 0, []
+    for f in found:
+        own.append(Counter(compress(f, rare[lo : lo + len(f)])))
+        lo += len(f)
+    distinct = list(chain.from_iterable(own))
+    text = np.repeat(np.arange(len(found)), np.fromiter(map(len, own), np.int64, len(own)))
+    n = np.fromiter(chain.from_iterable(c.values() for c in own), np.int64, len(distinct))
+    known = np.fromiter(map(model.counts.get, distinct, repeat(-1)), np.int64, len(distinct))
+    length = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    cells = text * ENDINGS + np.array(targets.ids(distinct), np.int64) - OWN
+    held = np.bincount(cells, n, len(found) * ENDINGS)
+    groups = np.flatnonzero(held)
+    totals -= np.bincount(groups // ENDINGS, held[groups] * np.log(model.totals[OWN + groups % ENDINGS] - held[groups] + 1), len(found))
+    elsewhere = np.where(known > n, np.log(np.maximum(known - n, 1)), SPELLED * length)
+    here = known >= 0
     totals += np.bincount(text[here], (n * elsewhere)[here], len(found))
-    rest = pa.StructArray.from_arrays([pa.array(list(code), pa.binary()).take(pa.array(at[~here])), pa.array(n[~here], pa.int64())], fields=list(OTHERS.value_type))
+    rest = pa.StructArray.from_arrays([pa.array(compress(distinct, (~here).tolist()), pa.binary()), pa.array(n[~here], pa.int64())], fields=list(OTHERS.value_type))
     offsets = np.concatenate(([0], np.cumsum(np.bincount(text[~here], minlength=len(found)))))
     return sizes, totals, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest, type=OTHERS)
 
@@ -385,8 +488,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     parts = map_texts(docs, ("doc_id", "text"), run, "doc_id long, n_words long, part double, others array<struct<word: binary, n: long>>", chunk=250)
     parts = stash(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
     # a word past the VOCABULARY most frequent ones has less than 1 / VOCABULARY of what was counted: no hot key
-    found = parts.select("row", F.inline("others")).withColumnRenamed("n", "own").join(model.others, "word", "left")
-    left = F.coalesce("n", F.lit(0)) - F.col("own")
+    found = parts.select("row", F.inline("others")).withColumnRenamed("n", "own").join(model.others.where("n > 1"), "word", "left")
+    left = F.coalesce("n", F.lit(0)) - F.col("own")  # not above 0 for a word that occurs once, whether joined or not
     units = F.col("own") * F.round(F.when(left > 0, F.log(left)).otherwise(SPELLED * F.length("word")) * UNIT).cast("long")
     sums = found.select("row", units.alias("units")).groupBy("row").agg(F.sum("units").alias("units"))
     total = F.col("part") + F.coalesce("units", F.lit(0)) / UNIT

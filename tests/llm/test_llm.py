@@ -549,6 +549,35 @@ def test_lm_gradient():
         assert abs((ends[1] - ends[0]) / 0.04) == pytest.approx(float(getattr(grads, name)[at]) ** 0.5, rel=0.1, abs=2e-4)
 
 
+def test_lm_trains_on_every_window(spark):
+    """A task's network is that of steps over the windows of all its words, and tasks count by their words."""
+    rng = np.random.default_rng(2)
+    net, own = lm.fresh(np.ones(lm.TARGETS)), {b"w%d" % i: i for i in range(500)}
+    seen, targets = net.filled(np.full(net.flat().size, 1e-4)), lm.Targets(own)
+    parts = [[" ".join(f"w{i}" for i in rng.integers(0, 600, n)) for n in sizes] for sizes in ((3000, 1, 0, 2, 2500, 700), (5, 90))]
+    want, n = np.zeros(net.flat().size), 0
+    for texts in parts:
+        x, y = lm.windows([targets.ids(lm.words(t)) for t in texts])
+        assert len(y) == sum(len(t.split()) for t in texts)
+        made = net.copy()
+        lm.train_on(made, seen.copy(), x, y)
+        want, n = want + made.flat() * len(y), n + len(y)
+        assert np.allclose(lm.log_probabilities_along(made, lm.line([targets.ids(lm.words(t)) for t in texts])), lm.log_probabilities(made, x, y), atol=1e-5)
+        alone = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        assert np.allclose(lm._refined(alone, own, net, seen).flat(), made.flat(), atol=1e-4)
+    both = spark.createDataFrame(spark.sparkContext.parallelize([[(t,) for t in texts] for texts in parts], 2).flatMap(list), "text string")
+    assert np.allclose(lm._refined(both, own, net, seen).flat(), want / n, atol=1e-4)
+
+
+def test_lm_large_scores_stay_finite():
+    net = lm.fresh(np.ones(lm.TARGETS))
+    net = net._replace(cluster_bias=np.linspace(-300, 300, lm.CLUSTERS, dtype=np.float32), inside_bias=np.linspace(400, -400, lm.TARGETS, dtype=np.float32).reshape(net.inside_bias.shape))
+    x, y = np.full((lm.TARGETS, 2 * lm.SIDE), lm.EDGE), np.arange(lm.TARGETS)
+    got = lm.log_probabilities(net, x, y)
+    want = [slow_log_probability(net, [lm.EDGE] * 4, k, [lm.EDGE] * 4) for k in range(0, lm.TARGETS, 97)]
+    assert np.isfinite(got).all() and np.allclose(got[::97], want, rtol=1e-4, atol=1e-3)
+
+
 def test_lm_tells_twice_from_once(spark):
     """Words that only this text has are spelled; those of a text that occurs twice are not."""
     rng = np.random.default_rng(1)
