@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +25,7 @@ EXAMPLES = 1500
 NEIGHBOURS = 30
 BLOCK = 128
 #: Terms in at least one of so many examples are common: their lists have no gaps, and a peak for each block.
-COMMON = 6
+COMMON = 16
 FLOOR = 0.1
 #: A vote weighs cosine / (NEARNESS - cosine).
 NEARNESS = 1.1
@@ -35,48 +35,83 @@ COPY = 0.999
 EDGE = 0.01
 #: Words whose terms a task keeps for lookup.
 HELD = 200_000
+#: Texts whose cosines are computed together.
+TOGETHER = 64
 WORDS = re.compile(r"[^\W\d_]+")
+#: Characters up to U+00FF: blanks for those that are in no word.
+LETTERS = bytes(i if WORDS.match(chr(i)) else 32 for i in range(256))
 
 
 def terms(word: str) -> tuple[str, ...]:
-    """A word and its prefixes of four and five letters."""
-    return (word, "4" + word[:4], "5" + word[:5]) if len(word) > 4 else (word,)
+    """A word and its prefixes of five and four letters."""
+    return (word, "5" + word[:5], "4" + word[:4]) if len(word) > 4 else (word,)
 
 
-def words(text: str | None) -> Counter:
-    return Counter(WORDS.findall((text or "").lower()))
+def words(text: str | None) -> list[str]:
+    """What WORDS finds in the text in lower case; without its search where no character is beyond U+00FF."""
+    text = (text or "").lower()
+    try:
+        return text.encode("latin-1").translate(LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORDS.findall(text)
 
 
 def bag(text: str | None) -> Counter:
     out: Counter = Counter()
-    for word, n in words(text).items():
+    for word, n in Counter(words(text)).items():
         for t in terms(word):
             out[t] += n
     return out
 
 
 class Terms(dict):
-    """Numbers of a word's terms in a vocabulary; looks up what it has not seen."""
+    """Rows of words in a table of their terms' numbers in a vocabulary; looks up what it has not seen. Row 0: no such term."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         super().__init__()
         self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > HELD:
+        self.table = np.full((HELD + 1, 3), -1, np.int32)
+        self.rows = 0
+        self.last = np.zeros(len(vocabulary), np.int32)
+
+    def __missing__(self, word: str) -> int:
+        found = []
+        for t in reversed(terms(word)):  # a vocabulary of whole bags has no term without the shorter ones
+            if (k := self.vocabulary.get(t)) is None:
+                break
+            found.append(k)
+        if found:
+            self.rows += 1
+            self.table[self.rows, : len(found)] = found
+        self[word] = row = self.rows if found else 0
+        return row
+
+    def _terms(self, found: Iterable[str], n: int) -> np.ndarray:
+        """Of n different words, each a row of its terms' numbers; -1 where there is none."""
+        if len(self) + n > HELD:
             self.clear()
-        self[word] = out = tuple(self.vocabulary[t] for t in terms(word) if t in self.vocabulary)
-        return out
+            self.table[:], self.rows = -1, 0
+            if n > HELD:  # a text of so many different words has a table of its own
+                self.table = np.full((n + 1, 3), -1, np.int32)
+        rows = np.fromiter(map(self.__getitem__, found), np.int64, n)
+        return self.table[rows]
+
+    def different(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's terms, each once."""
+        found = set(words(text))
+        at = self._terms(found, len(found)).ravel()
+        at = at[at >= 0]
+        self.last[at] = here = np.arange(len(at), dtype=np.int32)
+        return at[self.last[at] == here]
 
     def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of a text's terms, ascending, and their counts."""
-        found: list[int] = []
-        counts: list[int] = []
-        for word, n in words(text).items():
-            found += (known := self[word])
-            counts += [n] * len(known)
-        at, which = np.unique(np.array(found, np.int64), return_inverse=True)
-        return at, np.bincount(which, np.array(counts, np.float64), len(at)).astype(np.float64)
+        found = Counter(words(text))
+        at = self._terms(found, len(found))
+        known = at >= 0
+        counts = np.repeat(np.fromiter(found.values(), np.float64, len(found)), known.sum(axis=1))
+        at, which = np.unique(at[known], return_inverse=True)
+        return at.astype(np.int64), np.bincount(which, counts, len(at)).astype(np.float64)
 
 
 class Index(NamedTuple):
@@ -140,54 +175,66 @@ def build(rows: list[tuple], vocabulary: dict[str, int], frequency: np.ndarray,
     votes = np.where(y == 1, toxic / max(1, n1), clean / max(1, n0))[order]
     prior = toxic / max(1, toxic + clean)
     index = Index(vocabulary, weights, pointers, place[by_term], value[by_term], row, lists, lists.max(axis=2), y[order], votes / votes.max(initial=1e-9), [rows[i][0] for i in order], prior, (0.0, 1.0))
-    judged = [vote(index, nearest(index, bags[i][0], vectors[i], without=here)) for here, i in enumerate(order)]
+    judged = [vote(index, found) for found in all_nearest(index, [(bags[i][0], vectors[i]) for i in order], without=range(n))]
     return index._replace(curve=curve(np.array(judged), index.labels, index.votes, prior))
 
 
-def nearest(index: Index, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[int, float]]:
-    """The k examples of the largest cosine above 0, ties to the lower place. Without an example: and without what is as near
-    as a copy.
+def cosines(index: Index, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """Of texts, given by their terms and weights, and the examples; those that can't be among a text's k largest may be 0.
 
     Postings of rarer terms come first. What they give and the most that common terms can add within a block bound the
-    block's cosines; common terms are added only in blocks whose bound reaches the k-th largest cosine so far.
+    block's cosines; common terms are added only in blocks whose bound reaches the k-th largest cosine so far. k 0: in all.
     """
+    blocks, n = index.lists.shape[1], len(index.labels)
+    text = np.repeat(np.arange(len(texts)), [len(at) for at, _ in texts])
+    at, w = np.concatenate([at for at, _ in texts]), np.concatenate([w for _, w in texts])
     rows = index.row[at]
-    few, many = rows < 0, rows >= 0
-    lo, n = index.pointers[at[few]], index.pointers[at[few] + 1] - index.pointers[at[few]]
-    ends = np.cumsum(n)
-    which = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - n), n)
-    blocks = index.lists.shape[1]
-    cosines = np.zeros(blocks * BLOCK)
-    if len(which):
-        cosines += np.bincount(index.places[which], index.values[which] * np.repeat(w[few], n), blocks * BLOCK)
-    if many.any():
-        rows, x = rows[many], w[many].astype(np.float32)
-        least = np.partition(cosines[: len(index.labels)], -k)[-k] if without is None and len(index.labels) >= k else 0.0
-        bounds = cosines.reshape(blocks, BLOCK).max(axis=1) + x @ index.peaks[rows]
-        alive = np.flatnonzero(bounds >= least - 1e-5)
-        lists = index.lists[rows] if len(alive) == blocks else index.lists[rows[:, None], alive]
-        cosines.reshape(blocks, BLOCK)[alive] += (x @ lists.reshape(len(rows), -1)).reshape(-1, BLOCK)
-        if len(alive) < blocks:  # elsewhere nothing reaches the k-th
-            cosines.reshape(blocks, BLOCK)[np.delete(np.arange(blocks), alive)] = 0.0
-    cosines = cosines[: len(index.labels)]
-    if without is not None:
-        cosines = np.where(cosines >= COPY, 0.0, cosines)
-        cosines[without] = 0.0
-    best = np.argpartition(-cosines, min(2 * k, len(cosines) - 1))[: 2 * k] if len(cosines) > 4 * k else np.arange(len(cosines))
-    if len(best) and len(best) < len(cosines) and (edge := cosines[best].min()) > 0 and np.count_nonzero(cosines >= edge) > len(best):
-        best = np.flatnonzero(cosines >= edge)
-    best = best[np.lexsort((best, -cosines[best]))][:k]
-    return [(int(i), float(cosines[i])) for i in best if cosines[i] > 0]
+    few, many = np.flatnonzero(rows < 0), np.flatnonzero(rows >= 0)
+    lo, size = index.pointers[at[few]], index.pointers[at[few] + 1] - index.pointers[at[few]]
+    ends = np.cumsum(size)
+    which = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - size), size)
+    where = np.repeat(text[few] * (blocks * BLOCK), size) + index.places[which]
+    out = np.bincount(where, index.values[which] * np.repeat(w[few], size), len(texts) * blocks * BLOCK).astype(np.float64, copy=False).reshape(len(texts), blocks, BLOCK)
+    if len(many):
+        x = np.zeros((len(texts), len(index.lists)), np.float32)
+        x[text[many], rows[many]] = w[many]
+        least = np.partition(out.reshape(len(texts), -1)[:, :n], n - k, axis=1)[:, n - k] if 0 < k <= n else np.zeros(len(texts))
+        alive = out.max(axis=2) + x @ index.peaks >= least[:, None] - 1e-5
+        for b in range(blocks):
+            who = np.flatnonzero(alive[:, b])
+            out[who, b] += x[who] @ index.lists[:, b]
+        out[~alive] = 0.0  # nothing reaches the k-th
+    return out.reshape(len(texts), -1)[:, :n]
+
+
+def all_nearest(index: Index, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: Sequence[int] | None = None) -> Iterator[list[tuple[int, float]]]:
+    """Of each text, given by its terms and weights, the k examples of the largest cosine above 0, ties to the lower place.
+    Without an example each: and without what is as near as a copy."""
+    for lo in range(0, len(texts), TOGETHER):
+        for i, found in enumerate(cosines(index, texts[lo : lo + TOGETHER], k if without is None else 0), lo):
+            if without is not None:
+                found[found >= COPY] = 0.0
+                found[without[i]] = 0.0
+            best = np.argpartition(-found, min(2 * k, len(found) - 1))[: 2 * k] if len(found) > 4 * k else np.arange(len(found))
+            if len(best) and len(best) < len(found) and (edge := found[best].min()) > 0 and np.count_nonzero(found >= edge) > len(best):
+                best = np.flatnonzero(found >= edge)
+            best = best[np.lexsort((best, -found[best]))][:k]
+            yield [(j, c) for j, c in zip(best.tolist(), found[best].tolist(), strict=True) if c > 0]
+
+
+def nearest(index: Index, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
+    """Of one text."""
+    return next(all_nearest(index, [(at, w)], k))
 
 
 def vote(index: Index, found: list[tuple[int, float]]) -> float:
     """Share of toxic votes; each weighs its cosine over its distance. Without neighbours the share among labelled rows."""
-    total = yes = 0.0
-    for i, cos in found:
-        w = index.votes[i] * cos / (NEARNESS - min(cos, 1.0))
-        total += w
-        yes += w * index.labels[i]
-    return float(yes / total) if total else index.prior
+    if not found:
+        return index.prior
+    at, cos = (np.array(x) for x in zip(*found, strict=True))
+    w = index.votes[at] * cos / (NEARNESS - np.minimum(cos, 1.0))
+    total = w.sum()
+    return float((w * index.labels[at]).sum() / total) if total else index.prior
 
 
 def curve(judged: np.ndarray, y: np.ndarray, weights: np.ndarray, prior: float) -> tuple[float, float]:
@@ -229,7 +276,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
                 for t in batch.column(0).slice(lo, CHUNK).to_pylist():
-                    sums[list({x for w in set(WORDS.findall((t or "").lower())) for x in known[w]})] += 1
+                    sums[known.different(t)] += 1
                     texts += 1
         sums[-1] = texts
         at = np.flatnonzero(sums)
@@ -278,9 +325,8 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         model = shared.value
         known = cache.setdefault(0, Terms(model.vocabulary))
         cols = [ids, held, [], [], []]
-        for t in texts:
-            at, counts = known.bag(t)
-            found = nearest(model, at, vector(at, counts, model.weights))
+        bags = [known.bag(t) for t in texts]
+        for found in all_nearest(model, [(at, vector(at, counts, model.weights)) for at, counts in bags]):
             s = calibrated(model, found)
             cols[2].append(s)
             cols[3].append(int(s >= 0.5))

@@ -454,6 +454,41 @@ def test_nearest_is_exact(monkeypatch, seed):
         assert np.allclose([c for _, c in toxicity.nearest(index, at, toxicity.vector(at, n, index.weights))], want[want > 1e-7], atol=1e-5)
 
 
+def test_toxicity_texts_together():
+    """Texts searched together find what each finds alone and by full vectors; long lists are not gone through one by one."""
+    rng = np.random.default_rng(5)
+    words = ["".join("abcdefghij"[int(d)] for d in str(i * 7919 + 10)) + "word" for i in range(400)]
+    share = 1 / np.arange(1, 401)
+    rows = [(i, " ".join(rng.choice(words, 30, p=share / share.sum())) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(600)]
+    vocabulary = toxicity.vocabulary_of(toxicity.bag(t) for _, t, _ in rows)
+    known, frequency = toxicity.Terms(vocabulary), np.zeros(len(vocabulary))
+    for _, t, _ in rows:
+        frequency[known.different(t)] += 1
+    index = toxicity.build(rows, vocabulary, frequency, 600, 200, 400)
+    assert np.diff(index.pointers).max() <= len(rows) / 16
+    texts = [*(t for _, t, _ in rows[::2]), "", "vile", "zzz", None, rows[0][1] + " " + words[399]]
+    bags = [(at, toxicity.vector(at, n, index.weights)) for at, n in map(known.bag, texts)]
+    full, vector = full_vectors([(i, t) for i, t, _ in rows], rows)
+    for text, (at, w), got in zip(texts, bags, toxicity.all_nearest(index, bags), strict=True):
+        assert [i for i, _ in got] == [i for i, _ in toxicity.nearest(index, at, w)]
+        want = np.sort(full @ vector(text))[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose([c for _, c in got], want[want > 1e-7], atol=1e-5)
+
+
+def test_toxicity_words_and_terms(monkeypatch):
+    chars = "".join(map(chr, range(0x250))) + "\u0130\u2160\u0663\u6f22\U0001f600\u2019"
+    for text in [*(f"Ab{c}cD {c}x" for c in chars), chars, None, "", "don't_STOP caf\xe9\xa0na\xefve\x85\x1cz\xb2 5th"]:
+        assert toxicity.words(text) == toxicity.WORDS.findall((text or "").lower())
+    vocabulary = toxicity.vocabulary_of([toxicity.bag("night nights nightly train do done dozen")])
+    monkeypatch.setattr(toxicity, "HELD", 5)  # kept words go, and a text has more of them than are kept
+    known = toxicity.Terms(vocabulary)
+    for text in ["night nightmare nighttime night", "train trainer do did doze dozens dozenth zebra yak xenon", "", "done nights nightly"] * 2:
+        want = {vocabulary[t]: n for t, n in toxicity.bag(text).items() if t in vocabulary}
+        at, n = known.bag(text)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == want and at.tolist() == sorted(want)
+        assert sorted(known.different(text).tolist()) == sorted(want)
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
