@@ -24,6 +24,8 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows handled at once inside a Python task; bounds its memory, never the result.
 CHUNK = 1000
+#: Bytes of freed memory that a Python worker keeps.
+KEPT = 1 << 26
 
 _made: list[str] = []
 _written: list[str] = []
@@ -35,10 +37,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package when the driver runs from another folder; a task has one core, so numpy has one
-    thread in it (more would wait for each other)."""
+    thread in it (more would wait for each other). Workers keep up to KEPT bytes of freed memory: arrays that come and go with
+    each step would else be given back to the system and faulted in again page by page."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(KEPT))
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(KEPT // 2))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 

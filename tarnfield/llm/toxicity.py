@@ -65,34 +65,45 @@ def bag(text: str | None) -> Counter:
 
 
 class Terms(dict):
-    """Rows of words in a table of their terms' numbers in a vocabulary; looks up what it has not seen. Row 0: no such term."""
+    """Rows of words in a table of their terms' numbers in a vocabulary; looks up what it has not seen. Row 0: no such term.
+    Words that are no terms themselves share the row of their first five letters."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         super().__init__()
         self.vocabulary = vocabulary
-        self.table = np.full((HELD + 1, 3), -1, np.int32)
-        self.rows = 0
+        self._blank(HELD)
+        self.starts: dict[str, int] = {}
         self.last = np.zeros(len(vocabulary), np.int32)
 
     def __missing__(self, word: str) -> int:
-        found = []
-        for t in reversed(terms(word)):  # a vocabulary of whole bags has no term without the shorter ones
-            if (k := self.vocabulary.get(t)) is None:
-                break
-            found.append(k)
-        if found:
-            self.rows += 1
-            self.table[self.rows, : len(found)] = found
-        self[word] = row = self.rows if found else 0
+        # a vocabulary of whole bags has no term without the shorter ones
+        if (k := self.vocabulary.get(word)) is not None:
+            row = self._row((k,) if len(word) <= 4 else (self.vocabulary["4" + word[:4]], self.vocabulary["5" + word[:5]], k))
+        elif len(word) <= 4:
+            row = 0
+        elif (row := self.starts.get(start := word[:5])) is None:
+            found = [k for t in ("4" + start[:4], "5" + start) if (k := self.vocabulary.get(t)) is not None]
+            self.starts[start] = row = self._row(found) if found else 0
+        self[word] = row
         return row
 
+    def _blank(self, words: int) -> None:
+        """An empty table for so many words."""
+        self.table, self.rows = np.full((words + 1, 3), -1, np.int32), 0
+        self.cells = memoryview(self.table.reshape(-1))  # numpy is slow to set a few
+
+    def _row(self, found: Sequence[int]) -> int:
+        self.rows += 1
+        for i, k in enumerate(found, 3 * self.rows):
+            self.cells[i] = k
+        return self.rows
+
     def _terms(self, found: Iterable[str], n: int) -> np.ndarray:
         """Of n different words, each a row of its terms' numbers; -1 where there is none."""
         if len(self) + n > HELD:
             self.clear()
-            self.table[:], self.rows = -1, 0
-            if n > HELD:  # a text of so many different words has a table of its own
-                self.table = np.full((n + 1, 3), -1, np.int32)
+            self.starts.clear()
+            self._blank(max(n, HELD))  # a text of more different words than HELD has a table of its own
         rows = np.fromiter(map(self.__getitem__, found), np.int64, n)
         return self.table[rows]
 

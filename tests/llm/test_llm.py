@@ -489,6 +489,19 @@ def test_toxicity_words_and_terms(monkeypatch):
         assert sorted(known.different(text).tolist()) == sorted(want)
 
 
+def test_toxicity_unknown_words_cost_no_rows(monkeypatch):
+    """Words that are no terms share the row of their start, also after kept words went."""
+    monkeypatch.setattr(toxicity, "HELD", 500)
+    vocabulary = toxicity.vocabulary_of([toxicity.bag("night nightly train trains do")])
+    known = toxicity.Terms(vocabulary)
+    unknown = ["night" + "".join("abcdefghij"[int(d)] for d in str(i)) for i in range(300)] + ["trainer", "traipse", "zzzzz", "zz"]
+    for text in [" ".join(unknown), "nightly do", " ".join(w + "x" for w in unknown), " ".join(unknown)]:
+        want = {vocabulary[t]: n for t, n in toxicity.bag(text).items() if t in vocabulary}
+        at, n = known.bag(text)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == want
+        assert known.rows <= 5
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
