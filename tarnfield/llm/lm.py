@@ -31,7 +31,11 @@ OWN, ENDINGS, CLUSTERS = 1792, 256, 32
 TARGETS = OWN + ENDINGS
 EACH = TARGETS // CLUSTERS
 EDGE = TARGETS
+#: Of a target: its cluster, and its place in it.
+CLUSTER, PLACE = (np.arange(TARGETS) // EACH).astype(np.uint8), np.arange(TARGETS) % EACH
 SIDE, HIDDEN = 4, 32
+#: Parameters changed at once.
+IN_CACHE = 1 << 14
 #: Texts (by hash of the text) that training starts from, windows in a step, and passes over the start.
 START, BATCH, PASSES = 1000, 2048, 3
 RATE = 0.08
@@ -100,6 +104,34 @@ class Network(NamedTuple):
         return Network(*(v.reshape(x.shape).astype(np.float32) for v, x in zip(np.split(values, cuts), self, strict=True)))
 
 
+class Layers(NamedTuple):
+    """A network as steps along lines use it: by hidden unit, so that a row is a line, with biases as one more row of weights."""
+
+    embed: np.ndarray  #: (hidden, input)
+    taps: np.ndarray  #: (hidden, place from SIDE before the target to SIDE after it): gains, 0 at the target
+    bias: np.ndarray  #: (hidden, 1)
+    cluster: np.ndarray  #: (hidden and bias, cluster)
+    inside: np.ndarray  #: (cluster, hidden and bias, target in it)
+
+    @staticmethod
+    def over(flat: np.ndarray) -> Layers:
+        """Views of one array that holds all parameters."""
+        shapes = ((HIDDEN, TARGETS + 1), (HIDDEN, 2 * SIDE + 1), (HIDDEN, 1), (HIDDEN + 1, CLUSTERS), (CLUSTERS, HIDDEN + 1, EACH))
+        cuts = np.cumsum([np.prod(x) for x in shapes])[:-1]
+        return Layers(*(v.reshape(x) for v, x in zip(np.split(flat, cuts), shapes, strict=True)))
+
+    @staticmethod
+    def flat(net: Network) -> np.ndarray:
+        taps = np.insert(net.gain, SIDE, 0, axis=0).T
+        return np.concatenate([x.ravel() for x in (net.embed.T, taps, net.bias, net.cluster, net.cluster_bias, np.concatenate((net.inside, net.inside_bias[:, None]), axis=1))])
+
+    def put(self, net: Network) -> None:
+        """Into a network in place."""
+        parts = (self.embed.T, np.delete(self.taps, SIDE, axis=1).T, self.bias[:, 0], self.cluster[:-1], self.cluster[-1], self.inside[:, :-1], self.inside[:, -1])
+        for to, x in zip(net, parts, strict=True):
+            to[...] = x
+
+
 class Model(NamedTuple):
     own: dict[bytes, int]
     network: Network
@@ -164,17 +196,6 @@ def _hidden(net: Network, inputs: np.ndarray) -> np.ndarray:
     return np.tanh(x, out=x)
 
 
-def _hidden_along(net: Network, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of all places of a piece, and the hidden layer at those that can be targets."""
-    e = net.embed[ids]
-    n = len(ids) - 2 * SIDE
-    x = np.broadcast_to(net.bias, (n, HIDDEN)).copy()
-    part = np.empty_like(x)
-    for j, d in enumerate(PLACES):
-        x += np.multiply(e[SIDE + d : SIDE + d + n], net.gain[j], out=part)
-    return e, np.tanh(x, out=x)
-
-
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp(z) but for a factor a row, in place of z, and the sums of rows."""
     z = _small(z)
@@ -191,7 +212,7 @@ def _small(z: np.ndarray) -> np.ndarray:
 
 def _by_cluster(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Order by cluster, and (cluster, from, to) in it of clusters that occur."""
-    cluster = (targets // EACH).astype(np.uint8)  # sorted by counting
+    cluster = CLUSTER[targets]  # sorted by counting
     ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS)).tolist()
     return np.argsort(cluster, kind="stable"), [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)) if lo < hi]
 
@@ -226,9 +247,42 @@ def log_probabilities(net: Network, inputs: np.ndarray, targets: np.ndarray) ->
     return np.concatenate([_of_targets(net, _hidden(net, inputs[lo : lo + SCORED]), targets[lo : lo + SCORED]) for lo in steps] or [np.zeros(0)])
 
 
+def _hidden_along(layers: Layers, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of all places of a piece, and the hidden layer at those that can be targets; a row for each hidden unit."""
+    e = layers.embed.take(ids, axis=1, mode="clip")
+    h = np.empty((HIDDEN, len(ids) - 2 * SIDE), np.float32)
+    for to, row, taps in zip(h, e, layers.taps, strict=True):
+        to[:] = np.correlate(row, taps, "valid")
+    h += layers.bias
+    return e, np.tanh(h, out=h)
+
+
+def _scores_along(layers: Layers, h: np.ndarray, where: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of targets at those places of a hidden layer, in order of clusters: hidden units and a 1; scores of clusters; scores of
+    the targets of their own cluster."""
+    every = np.empty((h.shape[1], HIDDEN + 1), np.float32)
+    every[:, :HIDDEN], every[:, HIDDEN] = h.T, 1
+    x = every.take(where, axis=0, mode="clip")
+    inside = np.empty((len(x), EACH), np.float32)
+    for c, lo, hi in runs:
+        np.matmul(x[lo:hi], layers.inside[c], out=inside[lo:hi])
+    return x, _small(x @ layers.cluster), _small(inside)
+
+
 def log_probabilities_along(net: Network, ids: np.ndarray) -> np.ndarray:
     """Of each target of a line given its window."""
-    return np.concatenate([_of_targets(net, _hidden_along(net, piece)[1][at - SIDE], piece[at]) for piece, at in pieces(ids, SCORED)] or [np.zeros(0)])
+    layers, out = Layers.over(Layers.flat(net)), [np.zeros(0)]
+    for piece, at in pieces(ids.astype(np.intp), SCORED):
+        targets = piece[at]
+        order, runs = _by_cluster(targets)
+        _, *scores = _scores_along(layers, _hidden_along(layers, piece)[1], (at - SIDE)[order], runs)
+        part, targets = np.zeros(len(at)), targets[order]
+        for z, k in zip(scores, (CLUSTER[targets], PLACE[targets]), strict=True):
+            own = z.reshape(-1)[np.arange(len(z)) * z.shape[1] + k]
+            part += own - np.log(_exp(z)[1])
+        out.append(np.empty_like(part))
+        out[-1][order] = part
+    return np.concatenate(out)
 
 
 def _back(net: Network, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
@@ -278,43 +332,86 @@ def step(net: Network, seen: Network, inputs: np.ndarray, targets: np.ndarray) -
     _descend(net, seen, *_sums(inputs.T.ravel(), np.concatenate([dx * net.gain[j] for j in range(2 * SIDE)])), gain, *above)
 
 
-def step_along(net: Network, seen: Network, ids: np.ndarray, at: np.ndarray) -> None:
-    """The same step for the windows of a piece of a line."""
-    e, h = _hidden_along(net, ids)
-    n = len(h)
-    part, above = _back(net, h if len(at) == n else h[at - SIDE], ids[at])
-    if len(at) == n:
-        dx = part
-    else:
-        dx = np.zeros_like(h)
-        dx[at - SIDE] = part
-    by_place, held, gain = np.zeros_like(e), np.empty_like(dx), np.empty_like(net.gain)
-    for j, d in enumerate(PLACES):
-        here = slice(SIDE + d, SIDE + d + n)
-        gain[j] = np.einsum("ij,ij->j", dx, e[here])
-        by_place[here] += np.multiply(dx, net.gain[j], out=held)
-    _descend(net, seen, *_sums(ids, by_place), gain, *above)
-
-
 def train_on(net: Network, seen: Network, inputs: np.ndarray, targets: np.ndarray) -> None:
     for lo in range(0, len(targets), BATCH):
         step(net, seen, inputs[lo : lo + BATCH], targets[lo : lo + BATCH])
 
 
+class Along:
+    """The same steps for the windows of pieces of lines; windows that follow each other share their inputs."""
+
+    def __init__(self, net: Network, seen: Network) -> None:
+        self.flat, self.seen = Layers.flat(net), Layers.flat(seen)
+        self.gradient = np.zeros_like(self.flat)
+        self.layers, self.by = Layers.over(self.flat), Layers.over(self.gradient)
+
+    def step(self, ids: np.ndarray, at: np.ndarray) -> None:
+        self._back(ids.astype(np.intp), at)
+        free = np.empty(IN_CACHE, np.float32)
+        for lo in range(0, len(self.flat), IN_CACHE):
+            p, s, g = (x[lo : lo + IN_CACHE] for x in (self.flat, self.seen, self.gradient))
+            part = free[: len(g)]
+            s += np.multiply(g, g, out=part)
+            np.sqrt(s, out=part)
+            part += 1e-6
+            np.divide(g, part, out=part)
+            part *= RATE
+            p -= part
+
+    def put(self, net: Network, seen: Network) -> None:
+        """What steps have made, into networks in place."""
+        self.layers.put(net)
+        Layers.over(self.seen).put(seen)
+
+    def _back(self, ids: np.ndarray, at: np.ndarray) -> None:
+        """Gradients of the mean negative log-probability, into self.by."""
+        layers, by, n = self.layers, self.by, len(at)
+        targets = ids[at]
+        order, runs = _by_cluster(targets)
+        targets, where = targets[order], (at - SIDE)[order]
+        e, h = _hidden_along(layers, ids)
+        x, *scores = _scores_along(layers, h, where, runs)
+        for z, k in zip(scores, (CLUSTER[targets], PLACE[targets]), strict=True):
+            _, sums = _exp(z)
+            z.reshape(-1)[np.arange(n) * z.shape[1] + k] -= sums
+            z *= (1 / (n * sums))[:, None]
+        of_clusters, inside = scores
+        np.matmul(x.T, of_clusters, out=by.cluster)
+        if len(runs) < CLUSTERS:
+            by.inside[:] = 0
+        dh, part = of_clusters @ layers.cluster[:HIDDEN].T, np.empty((n, HIDDEN), np.float32)
+        for c, lo, hi in runs:
+            np.matmul(x[lo:hi].T, inside[lo:hi], out=by.inside[c])
+            np.matmul(inside[lo:hi], layers.inside[c, :HIDDEN].T, out=part[lo:hi])
+        dh += part
+        every = np.zeros((h.shape[1], HIDDEN), np.float32)
+        every[where] = dh
+        np.multiply(h, h, out=h)
+        dx = np.subtract(1, h, out=h)
+        dx *= every.T
+        by.bias[:, 0] = dx.sum(axis=1)
+        by.embed[:] = 0
+        for g, row, taps, to_taps, to_embed in zip(dx, e, layers.taps[:, ::-1], by.taps, by.embed, strict=True):
+            to_taps[:] = np.correlate(row, g, "valid")
+            np.add.at(to_embed, ids, np.correlate(g, taps, "full"))
+        by.taps[:, SIDE] = 0
+
+
 def train_along(net: Network, seen: Network, lines: Iterable[np.ndarray]) -> int:
     """Steps over every window of lines, BATCH at once; what a line leaves goes with the next. Returns their number."""
-    n, rest = 0, line([])
+    n, rest, along = 0, line([]), Along(net, seen)
     for ids in lines:
         rest, whole = line([]), np.concatenate((rest, ids[SIDE:]))
         for piece, at in pieces(whole, BATCH):
             if len(at) < BATCH:
                 rest = piece
             else:
-                step_along(net, seen, piece, at)
+                along.step(piece, at)
                 n += BATCH
     for piece, at in pieces(rest, BATCH):
-        step_along(net, seen, piece, at)
+        along.step(piece, at)
         n += len(at)
+    along.put(net, seen)
     return n
 
 

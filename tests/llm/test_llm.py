@@ -617,6 +617,24 @@ def test_lm_trains_on_every_window(spark):
     assert np.allclose(lm._refined(both, own, net, seen).flat(), want / n, atol=1e-4)
 
 
+def test_lm_step_along_a_line():
+    """A step along a piece with short and empty texts in it moves a network as a step on their windows, window by window."""
+    rng = np.random.default_rng(4)
+    net = lm.fresh(np.ones(lm.TARGETS))
+    seen = net.filled(np.full(net.flat().size, 1e-4))
+    texts = [rng.integers(0, high, n).tolist() for high, n in ((lm.TARGETS, 300), (40, 1), (40, 0), (40, 0), (200, 7), (lm.TARGETS, 90))]
+    want, want_seen = net.copy(), seen.copy()
+    along = lm.Along(net, seen)
+    ids = lm.line(texts)
+    for _ in range(3):
+        lm.step(want, want_seen, *lm.windows(texts))
+        for piece, at in lm.pieces(ids, lm.BATCH):
+            along.step(piece, at)
+    assert np.array_equal(net.flat(), lm.fresh(np.ones(lm.TARGETS)).flat())  # until it is put back
+    along.put(net, seen)
+    assert np.allclose(net.flat(), want.flat(), atol=1e-5) and np.allclose(seen.flat(), want_seen.flat(), atol=1e-5)
+
+
 def test_lm_large_scores_stay_finite():
     net = lm.fresh(np.ones(lm.TARGETS))
     net = net._replace(cluster_bias=np.linspace(-300, 300, lm.CLUSTERS, dtype=np.float32), inside_bias=np.linspace(400, -400, lm.TARGETS, dtype=np.float32).reshape(net.inside_bias.shape))
