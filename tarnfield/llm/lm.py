@@ -12,19 +12,18 @@ all texts. Windows that follow each other share their inputs, so texts are laid
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, compress, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import CHUNK, map_texts, ship, stash
+from .common import ship, stash
 
 #: Targets: words of their own and groups by ending, in clusters of equal size. The edge of a text is one more input.
 OWN, ENDINGS, CLUSTERS = 1792, 256, 32
@@ -39,14 +38,14 @@ IN_CACHE = 1 << 14
 #: Texts (by hash of the text) that training starts from, windows in a step, and passes over the start.
 START, BATCH, PASSES = 1000, 2048, 3
 RATE = 0.08
-#: Words whose windows a task holds at once, and words scored in a step, which stays in a core's cache.
-WORDS_AT_ONCE, SCORED = 1 << 16, 1 << 11
+#: Bytes of texts whose windows a task holds at once, and words scored in a step, which stays in a core's cache.
+BYTES_AT_ONCE, SCORED = 1 << 20, 1 << 11
 #: Where the inputs of a window stand, from its target.
 PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1))
 #: The most frequent words, whose counts are broadcast. Those of all other words are joined.
 VOCABULARY = 20_000
-#: Words held by a task before they are handed on, and kept for lookup.
-HELD = 200_000
+#: Bytes of texts that a task counts before it hands counts on, and endings kept for lookup.
+COUNTED, HELD = 1 << 25, 200_000
 #: A letter of a word that no other text has.
 SPELLED = -float(np.log(26))
 #: Joined log-probabilities are summed as whole numbers of this unit, so that the order of rows doesn't matter.
@@ -59,6 +58,26 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def parted(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of words of texts, and the words one after the other, as words() finds them."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = found.flatten().cast(pa.binary())
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends parts empty words from others
+    before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    ends = np.concatenate(([0], np.cumsum(found.value_lengths().to_numpy(), dtype=np.int64)))
+    return np.diff(before[ends]), flat if before[-1] == len(flat) else flat.filter(some)
+
+
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in turn, as many at once as have BYTES_AT_ONCE bytes, one at least; bounds the windows held."""
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BYTES_AT_ONCE, "right")) - 1)
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def ending(word: bytes) -> int:
     return OWN + zlib.crc32(word[-3:]) % ENDINGS
 
@@ -78,11 +97,30 @@ class Targets:
 
     def __init__(self, own: dict[bytes, int]) -> None:
         self.own, self.ends = own, Endings()
+        self.words, self.numbers = pa.array(list(own), pa.binary()), np.fromiter(own.values(), np.int16, len(own))
 
     def ids(self, found: list[bytes]) -> list[int]:
         own, ends = self.own.get, self.ends
         return [k if (k := own(w)) is not None else ends[w[-3:]] for w in found]
 
+    def of(self, found: pa.Array) -> np.ndarray:
+        """The same of an array of words."""
+        last = pc.binary_slice(found, -3, None).dictionary_encode()
+        out = np.array([self.ends[x] for x in last.dictionary.to_pylist()], np.int16)[last.indices.to_numpy()]
+        at = _places(found, self.words)
+        out[at >= 0] = self.numbers[at[at >= 0]]
+        return out
+
+    def line(self, texts: pa.Array) -> np.ndarray:
+        sizes, found = parted(texts)
+        found = found.dictionary_encode()
+        return laid(sizes, self.of(found.dictionary)[found.indices.to_numpy()])
+
+
+def _places(found: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where words stand among others, -1 for those that don't."""
+    return pc.fill_null(pc.index_in(found, value_set=among), -1).to_numpy()
+
 
 class Network(NamedTuple):
     embed: np.ndarray  #: (input, hidden)
@@ -158,6 +196,13 @@ def line(texts: list[list[int]]) -> np.ndarray:
     return np.array(flat, np.int16)
 
 
+def laid(sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The line of texts of such sizes from their targets one after the other."""
+    out = np.full(len(ids) + SIDE * (len(sizes) + 1), EDGE, np.int16)
+    out[np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(sizes) + 1), sizes)] = ids
+    return out
+
+
 def pieces(ids: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pieces of a line with so many targets (the last has what is left), and where in a piece they stand. The first and the
     last SIDE places of a line or piece are inputs only."""
@@ -175,20 +220,6 @@ def windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return ids[at[:, None] + np.array(PLACES)].astype(np.int32), ids[at].astype(np.int32)
 
 
-def portions(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
-    """Words of texts, as many texts at once as have WORDS_AT_ONCE words, one at least; bounds the windows held."""
-    held: list[list[bytes]] = []
-    n = 0
-    for found in map(words, texts):
-        if held and n + len(found) > WORDS_AT_ONCE:
-            yield held
-            held, n = [], 0
-        held.append(found)
-        n += len(found)
-    if held:
-        yield held
-
-
 def _hidden(net: Network, inputs: np.ndarray) -> np.ndarray:
     x = np.broadcast_to(net.bias, (len(inputs), HIDDEN)).copy()
     for j in range(2 * SIDE):
@@ -418,18 +449,21 @@ def train_along(net: Network, seen: Network, lines: Iterable[np.ndarray]) -> int
 def _word_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
+    def told(held):
+        found = pa.chunked_array(held, pa.binary()).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], schema=schema)
+
     def count(batches):
-        found: Counter = Counter()
-        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=schema)
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                for t in batch.column(0).slice(at, 100).to_pylist():
-                    found.update(words(t))
-                if len(found) > HELD:
-                    yield told()
-                    found.clear()
-        if found:
-            yield told()
+            for texts in portions(batch.column(0)):
+                held.append(parted(texts)[1])
+                size += held[-1].nbytes
+                if size > COUNTED:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -480,8 +514,7 @@ def _refined(docs: DataFrame, own: dict[bytes, int], net: Network, seen: Network
     def run(batches):
         own, net, seen = shared.value
         net, seen, targets = net.copy(), seen.copy(), Targets(own)
-        texts = (batch.column(0).slice(at, CHUNK).to_pylist() for batch in batches for at in range(0, batch.num_rows, CHUNK))
-        n = train_along(net, seen, (line([targets.ids(f) for f in found]) for held in texts for found in portions(held)))
+        n = train_along(net, seen, (targets.line(texts) for batch in batches for texts in portions(batch.column(0))))
         if n:
             flat = net.flat().astype(np.float64) * n
             cut = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
@@ -531,32 +564,39 @@ def _others(counts: DataFrame, top: list[tuple[bytes, int]]) -> DataFrame:
 OTHERS = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
 
-def _parts(found: list[list[bytes]], model: Model, targets: Targets) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of each text, given by its words: their number, the sum of log-probabilities but for the counts of words that are not
-    in model.counts, and these words with how often they occur."""
-    sizes = np.array([len(f) for f in found], np.int64)
-    ids = line([targets.ids(f) for f in found])
-    y = ids[ids != EDGE].astype(np.int64)
-    text = np.repeat(np.arange(len(found)), sizes)
-    totals = np.bincount(text, log_probabilities_along(model.network, ids), len(found)).astype(np.float64)
-    rare, lo, own = (y >= OWN).tolist(), 0, []
-    for f in found:
-        own.append(Counter(compress(f, rare[lo : lo + len(f)])))
-        lo += len(f)
-    distinct = list(chain.from_iterable(own))
-    text = np.repeat(np.arange(len(found)), np.fromiter(map(len, own), np.int64, len(own)))
-    n = np.fromiter(chain.from_iterable(c.values() for c in own), np.int64, len(distinct))
-    known = np.fromiter(map(model.counts.get, distinct, repeat(-1)), np.int64, len(distinct))
-    length = np.fromiter(map(len, distinct), np.int64, len(distinct))
-    cells = text * ENDINGS + np.array(targets.ids(distinct), np.int64) - OWN
-    held = np.bincount(cells, n, len(found) * ENDINGS)
+class Counts:
+    """Counts of frequent words."""
+
+    def __init__(self, counts: dict[bytes, int]) -> None:
+        self.words, self.n = pa.array(list(counts), pa.binary()), np.array([*counts.values(), -1], np.int64)
+
+    def of(self, found: pa.Array) -> np.ndarray:
+        """-1 for words that are not among them."""
+        return self.n[_places(found, self.words)]
+
+
+def _parts(texts: pa.Array, model: Model, targets: Targets, counts: Counts) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each text: its number of words, the sum of log-probabilities but for the counts of words that are not in
+    model.counts, and these words with how often they occur."""
+    sizes, found = parted(texts)
+    found = found.dictionary_encode()
+    distinct, at = found.dictionary, found.indices.to_numpy()
+    k = targets.of(distinct)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    totals = np.bincount(text, log_probabilities_along(model.network, laid(sizes, k[at])), len(texts)).astype(np.float64)
+    rare = (k >= OWN)[at]
+    pairs, n = np.unique(text[rare] * len(distinct) + at[rare], return_counts=True)
+    text, at = np.divmod(pairs, max(len(distinct), 1))
+    known, length = counts.of(distinct)[at], pc.binary_length(distinct).to_numpy()[at]
+    cells = text * ENDINGS + k[at] - OWN
+    held = np.bincount(cells, n, len(texts) * ENDINGS)
     groups = np.flatnonzero(held)
-    totals -= np.bincount(groups // ENDINGS, held[groups] * np.log(model.totals[OWN + groups % ENDINGS] - held[groups] + 1), len(found))
+    totals -= np.bincount(groups // ENDINGS, held[groups] * np.log(model.totals[OWN + groups % ENDINGS] - held[groups] + 1), len(texts))
     elsewhere = np.where(known > n, np.log(np.maximum(known - n, 1)), SPELLED * length)
     here = known >= 0
-    totals += np.bincount(text[here], (n * elsewhere)[here], len(found))
-    rest = pa.StructArray.from_arrays([pa.array(compress(distinct, (~here).tolist()), pa.binary()), pa.array(n[~here], pa.int64())], fields=list(OTHERS.value_type))
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(text[~here], minlength=len(found)))))
+    totals += np.bincount(text[here], (n * elsewhere)[here], len(texts))
+    rest = pa.StructArray.from_arrays([distinct.take(pa.array(at[~here])), pa.array(n[~here], pa.int64())], fields=list(OTHERS.value_type))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(text[~here], minlength=len(texts)))))
     return sizes, totals, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest, type=OTHERS)
 
 
@@ -571,18 +611,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model._replace(others=None))  # bounded by VOCABULARY and TARGETS
 
-    cache: dict[int, Targets] = {}
+    kind = _parse_datatype_string("doc_id long, n_words long, part double, others array<struct<word: binary, n: long>>")
+    arrow = to_arrow_schema(kind)
 
-    def run(ids, texts):
+    def run(batches):
         model = shared.value
-        targets = cache.setdefault(0, Targets(model.own))
-        made = [_parts(found, model, targets) for found in portions(texts)]
-        if not made:
-            return [ids, [], [], []]
-        sizes, totals, others = zip(*made, strict=True)
-        return [ids, np.concatenate(sizes), np.concatenate(totals), pa.concat_arrays(others)]
-
-    parts = map_texts(docs, ("doc_id", "text"), run, "doc_id long, n_words long, part double, others array<struct<word: binary, n: long>>", chunk=250)
+        targets, counts = Targets(model.own), Counts(model.counts)
+        for batch in batches:
+            at = 0
+            for texts in portions(batch.column(1)):
+                sizes, totals, others = _parts(texts, model, targets, counts)
+                ids = batch.column(0).slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(totals), others.cast(arrow.field(3).type)], schema=arrow)
+                at += len(texts)
+
+    parts = docs.select("doc_id", "text").mapInArrow(run, kind)
     parts = stash(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
     # a word past the VOCABULARY most frequent ones has less than 1 / VOCABULARY of what was counted: no hot key
     found = parts.select("row", F.inline("others")).withColumnRenamed("n", "own").join(model.others.where("n > 1"), "word", "left")

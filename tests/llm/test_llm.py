@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -617,6 +618,31 @@ def test_lm_trains_on_every_window(spark):
     assert np.allclose(lm._refined(both, own, net, seen).flat(), want / n, atol=1e-4)
 
 
+def test_lm_looks_up_whole_arrays_of_words(spark, monkeypatch):
+    """Words, targets and counts of columns are those of one text and word after the other, however texts are portioned."""
+    rng = np.random.default_rng(6)
+    odd = [None, "", "  \t\n\x0b\x0c\r", " Lead and trail \n", "ÄÖ É\u2003é \u00a0x\x1cY\x1f Z\x00q", "a b cd  A B CD", "w1 " * 700 + "w2"]
+    texts = odd + [" ".join(f"W{i}" for i in rng.integers(0, 900, n)) for n in rng.integers(0, 400, 30)]
+    targets = lm.Targets({w: i for i, w in enumerate([b"w1", b"a", b"w77", "Ä".encode()])})
+    want = [lm.words(t) for t in texts]
+    monkeypatch.setattr(lm, "BYTES_AT_ONCE", 2000)
+    monkeypatch.setattr(lm, "COUNTED", 5000)
+    for column in (pa.array(texts, pa.string()), pa.array(["skipped", *texts], pa.string())[1:], pa.array(texts, pa.large_string())):
+        parts = list(lm.portions(column))
+        assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 5
+        assert all(p.nbytes <= 8 * 2000 or len(p) == 1 for p in parts)
+        sizes, found = lm.parted(column)
+        assert sizes.tolist() == [len(w) for w in want] and found.to_pylist() == [x for w in want for x in w]
+        assert np.array_equal(targets.line(column), lm.line([targets.ids(w) for w in want]))
+        assert lm.Counts({b"w5": 9, b"a": 4}).of(pa.array([b"a", b"b", b"w5"], pa.binary())).tolist() == [4, -1, 9]
+        assert lm.Counts({}).of(found).max() == -1
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {bytes(r.word): r.n for r in lm._word_counts(docs).collect()} == Counter(x for w in want for x in w)
+    model = lm.Model({}, lm.fresh(np.ones(lm.TARGETS)), {}, np.full(lm.TARGETS, 1e6), None)
+    sizes, _, others = lm._parts(pa.array(texts, pa.string()), model, lm.Targets({}), lm.Counts({}))
+    assert sizes.tolist() == [len(w) for w in want] and [{x["word"]: x["n"] for x in o} for o in others.to_pylist()] == [Counter(w) for w in want]
+
+
 def test_lm_step_along_a_line():
     """A step along a piece with short and empty texts in it moves a network as a step on their windows, window by window."""
     rng = np.random.default_rng(4)
