@@ -197,37 +197,39 @@ def links(keys: np.ndarray, rows: Prints, radius: int = THRESHOLD, limit: int =
     """Links that join what the linked pairs within each run of equal keys join; no more than one for each number."""
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(cuts)
+    ids, number = np.unique(rows.ids, return_inverse=True)
+    root = np.arange(len(ids))
     found: list[tuple[int, int]] = []
     for i in np.flatnonzero(sizes > BULK):
         found += _search(rows.take(cuts[i] + np.unique(rows.ids[cuts[i] : cuts[i + 1]], return_index=True)[1]), radius, limit)
+    if found:
+        root = _joined(root, *(np.searchsorted(ids, np.array(x, ids.dtype)) for x in zip(*found, strict=True)))
     small = np.repeat(sizes <= BULK, sizes)
-    keys, rows = keys[small], rows.take(small)
+    keys, rows, number = keys[small], rows.take(small), number[small]
     at = np.arange(len(keys))
-    pairs = []
-    for k in range(1, BULK):
+    for k in range(1, BULK):  # pairs are joined at once: kept, those of groups of copies would be many times the rows
         at = at[: np.searchsorted(at, len(keys) - k)]
         at = at[keys[at] == keys[at + k]]
         if not len(at):
             break
-        x, y = rows.ids[at], rows.ids[at + k]
-        near = rows.take(at).near(rows.take(at + k), radius, limit) & (x != y)
-        if near.any():
-            pairs.append(np.stack([np.minimum(x[near], y[near]), np.maximum(x[near], y[near])], axis=1))
-    if pairs:
-        found += map(tuple, np.unique(np.concatenate(pairs), axis=0).tolist())
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := root.setdefault(x, x)) != x:
-            root[x] = root[y]
-            x = root[x]
-        return x
-
-    for a, b in found:
-        a, b = top(a), top(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [(x, r) for x in root if (r := top(x)) != x]
+        apart = at[root[number[at]] != root[number[at + k]]]
+        near = apart[rows.take(apart).near(rows.take(apart + k), radius, limit)]
+        root = _joined(root, number[near], number[near + k])
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return list(zip(ids[moved].tolist(), ids[root[moved]].tolist(), strict=True))
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of each number's component, after a and b at the same place are joined."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
 
 
 def linked(distinct: DataFrame, blocks: int = 3, radius: int = THRESHOLD, checks: tuple[str, ...] = (), limit: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -264,6 +265,21 @@ def test_near_copies_of_few_changed_words(spark):
     assert kept >= set(range(0, 120, 2)) and sum(i in kept for i in range(1, 120, 2)) <= 6
 
 
+def test_links_in_many_small_groups_take_memory_by_rows():
+    """Groups of copies up to BULK don't hold all their pairs, and join the same."""
+    rng = np.random.default_rng(3)
+    group = np.repeat(np.arange(500), simhash.BULK)
+    fps = rng.integers(0, 1 << 63, 500, dtype=np.uint64)[group] ^ np.uint64(1) << rng.integers(0, 64, len(group), dtype=np.uint64)
+    ids = rng.permutation(len(group))
+    tracemalloc.start()
+    found = simhash.links(group, simhash.Prints(fps, ids))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    least = np.minimum.reduceat(ids, np.arange(0, len(ids), simhash.BULK))[group]
+    assert dict(found) == {int(x): int(r) for x, r in zip(ids, least, strict=True) if x != r} and len(found) == len(set(found))
+    assert peak < 500 * len(ids)
+
+
 def test_links_in_large_groups():
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 1 << 63, dtype=np.uint64)
