@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from . import index
 
 PATTERN_TERMS = 128  #: terms a pattern stands for, the most frequent first; part of a pattern's meaning
 RRF_K, RRF_DEPTH = 10, 100
+DENSITY_ROWS = 256  #: documents whose places are Python objects at once
 # Documents from which on a typed word is trusted, how far a correction leads to be sure; a word in up to
 # TYPO_MAX documents is likely a typo of one in TYPO_RATIO times as many.
 TRUSTED, DOMINANCE, CONTEXT_TERMS, CONTEXT_DOMINANCE = 20, 20, 8, 3
@@ -127,30 +129,35 @@ def same_element(array: str, condition) -> Column:
 
 
 def density(tokens: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, density: words held over the shortest window with one of each, less if not in typed order, times their share."""
+    """doc_id, density: words held over the shortest window with one of each, less if not in typed order, times their share.
+
+    Python gets the places of the words only, each with the word's number, and looks at a few documents at once.
+    """
     words = list(dict.fromkeys(words))
+    n = len(words)
 
     def best(batches):
-        for pdf in batches:
-            out = []
-            for doc_id, toks in zip(pdf["doc_id"], pdf["tokens"], strict=True):
-                at = [(i, t) for i, t in enumerate(toks) if t in words]
-                held = {t for _, t in at}
-                if len(held) < 2:
-                    continue
-                last: dict[str, int] = {}
-                top = 0.0
-                for i, t in at:
-                    last[t] = i
-                    if len(last) == len(held):
-                        span = i - min(last.values()) + 1
-                        order = [w for w in words if w in last]
-                        ordered = all(last[a] < last[b] for a, b in zip(order, order[1:], strict=False))
-                        top = max(top, min(1.0, len(held) / span) * (1.0 if ordered else 0.8))
-                out.append((doc_id, top * len(held) / len(words)))
-            yield type(pdf)(out, columns=["doc_id", "density"])
-
-    return tokens.where(F.arrays_overlap("tokens", F.array(*map(F.lit, words)))).select("doc_id", "tokens").mapInPandas(best, "doc_id long, density double").groupBy("doc_id").agg(F.max("density").alias("density"))
+        for b in batches:
+            for lo in range(0, b.num_rows, DENSITY_ROWS):
+                part = b.slice(lo, DENSITY_ROWS)
+                out = []
+                for at in part.column(1).to_pylist():
+                    held = len({x % (n + 1) for x in at})
+                    last: dict[int, int] = {}
+                    top = 0.0
+                    for i, k in (divmod(x, n + 1) for x in at):
+                        last[k] = i
+                        if len(last) == held > 1:
+                            span = i - min(last.values()) + 1
+                            order = [last[k] for k in sorted(last)]
+                            ordered = all(a < b for a, b in zip(order, order[1:], strict=False))
+                            top = max(top, min(1.0, held / span) * (1.0 if ordered else 0.8))
+                    out.append(top * held / n if held > 1 else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], names=["doc_id", "density"])
+
+    places = F.transform("tokens", lambda x, i: i * F.lit(n + 1) + F.array_position(F.array(*map(F.lit, words)), x))
+    held = tokens.where(F.arrays_overlap("tokens", F.array(*map(F.lit, words)))).select("doc_id", F.filter(places, lambda x: x % (n + 1) != 0).alias("at"))
+    return held.mapInArrow(best, "doc_id long, density double").where("density IS NOT NULL").groupBy("doc_id").agg(F.max("density").alias("density"))
 
 
 def blend(hits: DataFrame, field: str, ratio: float = 40.0) -> DataFrame:

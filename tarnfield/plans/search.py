@@ -185,7 +185,7 @@ def density(rows: DataFrame, n: int) -> DataFrame:
     kind = pa.schema([("key", pa.string()), ("density", pa.float64())])
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(lo, search.DENSITY_ROWS) for whole in batches for lo in range(0, whole.num_rows, search.DENSITY_ROWS)):
             keys, out = b.column(0).to_pylist(), []
             for at in b.column(1).to_pylist():
                 places = sorted((p, x["clause"]) for x in at for p in x["positions"])

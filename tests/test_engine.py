@@ -82,6 +82,17 @@ def test_proximity_density(spark, duck):
     assert want and {r.doc_id: r.density for r in catalog.QUERIES["proximity_density"](spark, SF).collect()} == pytest.approx(want)
 
 
+def test_density_sends_places_only(spark, monkeypatch):
+    """Python gets little of a long text, however many words it has."""
+    tokens = spark.range(50).selectExpr("id AS doc_id", "concat(array('this', 'and', 'b', 'with'), array_repeat('other', 5000), array('with')) AS tokens")
+    sent = []
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(tokens), name, lambda self, *a, f=getattr(type(tokens), name), **k: (sent.append(self), f(self, *a, **k))[1])
+    assert {tuple(r) for r in search.density(tokens, ["this", "and", "with"]).collect()} == {(i, 0.75) for i in range(50)}
+    (given,) = sent
+    assert given.selectExpr("max(length(to_json(struct(*)))) AS n").first().n < 200
+
+
 def test_every_query_has_a_twin_or_a_test():
     assert set(catalog.QUERIES) - set(catalog.SQL) == {"fuzzy_ranked", "did_you_mean", "proximity_density"}
 
