@@ -33,6 +33,9 @@ from .sources.json_documents import INDEX_SCHEMA, checked, from_objects, index_r
 DOCS = "key string, source string"
 TERMS = "field string, term string, rows long, df long"
 MAX_PAGE = 1000
+#: Bytes of documents, before compression, that lie together and are indexed by one task, and of the file that it reads: what a
+#: task sorts is bounded, however many documents a segment has.
+BLOCK, SPLIT = 8 << 20, 4 << 20
 
 
 class Database:
@@ -173,7 +176,7 @@ class Database:
     def _add(self, name: str, docs: DataFrame, ended: DataFrame | None) -> None:
         seq = 1 + max((s["seq"] for s in self.manifest["segments"]), default=0)
         segment = {"name": name, "seq": seq, "rows": 0, "ended": False}
-        docs.select("key", "source").write.parquet(self._path(segment, "docs"))
+        self._write_docs(docs.select("key", "source"), self._path(segment, "docs"))
         stored = self.spark.read.schema(DOCS).parquet(self._path(segment, "docs"))
         segment["rows"] = stored.count()
         if segment["rows"]:
@@ -184,13 +187,27 @@ class Database:
             segment["ended"] = bool(self.spark.read.schema("key string").parquet(self._path(segment, "ended")).limit(1).count())
         self._commit(segments=[*self.manifest["segments"], segment])
 
+    @staticmethod
+    def _write_docs(docs: DataFrame, path: str) -> None:
+        docs.write.option("parquet.block.size", BLOCK).parquet(path)
+
     def _write_index(self, docs: DataFrame, path: str) -> None:
-        index_rows(docs, self.policy).sortWithinPartitions("kind", "field", "term", "key").write.partitionBy("kind", "field").parquet(path)
+        conf, name = self.spark.conf, "spark.sql.files.maxPartitionBytes"
+        before = conf.get(name)
+        conf.set(name, f"{min(SPLIT, _bytes(before))}b")
+        try:
+            index_rows(docs, self.policy).sortWithinPartitions("kind", "field", "term", "key").write.partitionBy("kind", "field").parquet(path)
+        finally:
+            conf.set(name, before)
 
     def _count(self, segment: dict) -> dict[str, tuple[int, int]]:
         """Writes a segment's dictionary, sorted by term; documents and words of each of its fields."""
         index = self.spark.read.schema(INDEX_SCHEMA).parquet(self._path(segment, "index"))
-        terms = index.where("kind = 'post'").groupBy("field", "term").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("df"))
+        posts, nested = index.where("kind = 'post'"), [f.path for f in self.policy.leaves() if f.arrays]
+        # outside arrays a document has one row for a term, so there is nothing to tell apart
+        terms = posts.where(~F.col("field").isin(*nested)).groupBy("field", "term").agg(F.count("*").alias("rows")).withColumn("df", F.col("rows"))
+        if nested:
+            terms = terms.unionByName(posts.where(F.col("field").isin(*nested)).groupBy("field", "term").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("df")))
         terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(self._path(segment, "terms"))
         totals = index.where("kind = 'len'").groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
         return {r.field: (r.n, r.total) for r in totals.collect()}  # a row a field
@@ -270,7 +287,7 @@ class Database:
         name = f"segment-{uuid.uuid4().hex}"
         seq = 1 + max((s["seq"] for s in self.manifest["segments"]), default=0)
         segment = {"name": name, "seq": seq, "rows": 0, "ended": False}
-        self.documents().write.parquet(self._path(segment, "docs"))
+        self._write_docs(self.documents(), self._path(segment, "docs"))
         segment["rows"] = self.spark.read.parquet(self._path(segment, "docs")).count()
         if segment["rows"]:
             rows = self._live("index", INDEX_SCHEMA).drop("seq")
@@ -534,6 +551,12 @@ class Database:
         return {"version": self.manifest["version"], "segments": len(self.manifest["segments"]), "documents": self.documents().count(), "terms": self._index("post").select("field", "term").distinct().count(), "bytes": size}
 
 
+def _bytes(text: str) -> int:
+    """A size as Spark's settings have it: 134217728b, 16m."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def best_of(near: list[dict], word: str, limit: int) -> list[dict]:
     """As operators.selected, of rows at hand."""
     others = sorted((x for x in near if x["term"] != word), key=lambda x: (-x["rank_score"], x["term"]))

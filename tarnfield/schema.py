@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import types as T
 
@@ -74,7 +75,7 @@ class Policy:
     def leaves(self) -> list[Field]:
         return [x for f in self.fields for x in f.leaves()]
 
-    @property
+    @cached_property
     def id_field(self) -> Field:
         return next(f for f in self.leaves() if f.kind in ("id", "id_auto"))
 

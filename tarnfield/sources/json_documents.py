@@ -5,18 +5,21 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
+from ..functions.analysis import PLAIN, Analyzer
 from ..functions.words import millis
-from ..schema import Field, Policy
+from ..schema import NUMERIC, Field, Policy
 
 #: kind: post (term, positions, spans), len (len), exact (term), name (term, level), num (num).
 INDEX_SCHEMA = "key string, row string, term string, level int, positions array<int>, spans array<int>, len int, num double, kind string, field string"
-BATCH = 200  #: documents analyzed at once in a task
+ARROW = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}[kind]) for name, kind in (x.split(" ") for x in INDEX_SCHEMA.split(", "))])
+CHUNK_DOCS, CHUNK_BYTES = 4096, 4 << 20  #: of documents analyzed at once in a task
+SHORT = 100  #: characters of a value that is analyzed once for all documents of a chunk
 
 
 def from_text(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
@@ -112,49 +115,134 @@ def checked(raw: DataFrame, policy: Policy) -> DataFrame:
 
 def index_rows(docs: DataFrame, policy: Policy) -> DataFrame:
     """What the index keeps of documents (key, source), a row for each term, length, whole value, name key and number."""
-    kind = _parse_datatype_string(INDEX_SCHEMA)
-    arrow = to_arrow_schema(kind)
-    id_path = policy.id_field.path
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, BATCH):
-                part = b.slice(lo, BATCH)
-                rows: list[tuple] = []
-                for key, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    doc = json.loads(source)
-                    rows += [r for f, x, row in walk(policy.fields, doc) if f.path != id_path for r in _rows(policy, f, x, key, ".".join(map(str, row)))]
-                    rows += _rows(policy, policy.id_field, key, key, "")
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+            for part in chunks(b):
+                yield from index_batches(policy, part.column(0).to_pylist(), part.column(1).to_pylist())
+
+    return docs.select("key", "source").mapInArrow(run, INDEX_SCHEMA)
+
+
+def chunks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of documents (key, source) in pieces of CHUNK_DOCS and CHUNK_BYTES at most; a longer document is alone."""
+    lo = total = 0
+    for hi, n in enumerate(pc.binary_length(b.column(1)).to_pylist()):
+        if hi > lo and (hi - lo >= CHUNK_DOCS or total + n > CHUNK_BYTES):
+            yield b.slice(lo, hi - lo)
+            lo, total = hi, 0
+        total += n
+    if b.num_rows:
+        yield b.slice(lo)
+
+
+def index_batches(policy: Policy, keys: list[str], sources: list[str]) -> Iterator[pa.RecordBatch]:
+    """index_rows of a few documents: a batch for each kind and field, in the order that the index is sorted by."""
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    docs = [json.loads(sources[i]) for i in order]
+    names = pa.array([keys[i] for i in order], pa.string())
+    made = [x for f, at, rows, values in gathered(policy, names.to_pylist(), docs) for x in _columns(policy, f, at, rows, values)]
+    for kind, path, at, columns in sorted(made, key=lambda x: x[:2]):
+        given = {"key": names.take(pa.array(at)), "kind": pa.repeat(kind, len(at)), "field": pa.repeat(path, len(at))} | columns
+        yield pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(len(at), f.type) for f in ARROW], schema=ARROW)
+
+
+def gathered(policy: Policy, keys: list[str], docs: list[dict]) -> Iterator[tuple[Field, np.ndarray, pa.Array, list]]:
+    """(leaf, places of its documents, their rows, values) of each leaf; the id's values are the keys."""
+    yield policy.id_field, np.arange(len(docs)), pa.repeat("", len(docs)), keys
+    for top in policy.fields:
+        found: dict[str, tuple[Field, list[int], list[str], list]] = {}
+        if top.kind != "struct":
+            values = [d.get(top.name) for d in docs]
+            at = [i for i, x in enumerate(values) if x is not None]
+            found[top.path] = top, at, [""] * len(at), [values[i] for i in at]
+        else:
+            for i, d in enumerate(docs):
+                for f, x, row in walk((top,), d):
+                    _, at, rows, values = found.setdefault(f.path, (f, [], [], []))
+                    at.append(i)
+                    rows.append(".".join(map(str, row)))
+                    values.append(x)
+        yield from ((f, np.array(at), pa.array(rows, pa.string()), values) for path, (f, at, rows, values) in found.items() if at and path != policy.id_field.path)
 
-    return docs.select("key", "source").mapInArrow(run, kind)
 
+def _columns(policy: Policy, f: Field, at: np.ndarray, rows: pa.Array, values: list) -> Iterator[tuple[str, str, np.ndarray, dict[str, pa.Array]]]:
+    """(kind, path, places of documents, the other columns) of what the index keeps of a leaf, sorted by term and document."""
 
-def _rows(policy: Policy, f: Field, x: object, key: str, row: str) -> Iterator[tuple]:
-    values = x if f.repeated else [x]
-    if f.kind in ("int", "float", "date", "bool"):
-        for v in values:
-            yield key, row, None, None, None, None, None, number(f, v), "num", f.path
-        return
+    def put(kind: str, own: np.ndarray, **columns: pa.Array):
+        return kind, f.path, at[own], {"row": rows.take(pa.array(own))} | columns
+
+    items = [x for v in values for x in v] if f.repeated else values
+    of = np.repeat(np.arange(len(values)), [len(v) for v in values]) if f.repeated else np.arange(len(values))
+    if f.kind in NUMERIC:
+        yield put("num", of, num=pa.array([number(f, x) for x in items], pa.float64()))
     if f.kind not in ("text", "id", "id_auto"):
         return
     if f.exact:
-        for v in values:
-            yield key, row, v.strip().lower(), None, None, None, None, None, "exact", f.path
+        terms = [x.strip().lower() for x in items]
+        order = sorted(range(len(items)), key=terms.__getitem__)
+        yield put("exact", of[order], term=pa.array([terms[i] for i in order], pa.string()))
     analyzer = policy.analyzer_of(f)
     if f.exact and f.kind == "text":
+        known: dict[str, list] = {}
+        named = sorted((term, i, level) for i, x in zip(of.tolist(), items, strict=True) for term, level in (known.get(x) or known.setdefault(x, analyzer.name_keys(x))))
+        if named:
+            terms, own, levels = zip(*named, strict=True)
+            yield put("name", np.array(own), term=pa.array(terms, pa.string()), level=pa.array(levels, pa.int32()))
+    if f.searchable:
+        yield from _postings(analyzer, f, values, put)
+
+
+class Vocabulary(dict):
+    """Numbers of words by the terms that an analyzer makes of them, -1 for words it drops."""
+
+    def __init__(self, analyzer: Analyzer) -> None:
+        self.analyzer, self.ids = analyzer, {}
+
+    def __missing__(self, word: str) -> int:
+        term = self.analyzer.term(word)
+        self[word] = n = -1 if term is None else self.ids.setdefault(term, len(self.ids))
+        return n
+
+
+def _postings(analyzer: Analyzer, f: Field, values: list, put) -> Iterator[tuple]:
+    """Terms with their positions, and lengths. Words of plain tokenizers are looked up, short repeated values analyzed once."""
+    n = len(values)
+    if analyzer.tokenizer in PLAIN and not f.repeated:
+        known, ids, counts = Vocabulary(analyzer), [], []
         for v in values:
-            for term, level in analyzer.name_keys(v):
-                yield key, row, term, level, None, None, None, None, "name", f.path
-    if not f.searchable:
-        return
-    tokens = analyzer.flat(values) if f.repeated else analyzer.tokens(values[0])
-    if not tokens:
+            words = PLAIN[analyzer.tokenizer].findall(analyzer.filtered(v))
+            ids += map(known.__getitem__, words)
+            counts.append(len(words))
+        terms, ids, counts = known.ids, np.array(ids, np.int64), np.array(counts)
+        own = np.repeat(np.arange(n), counts)
+        places = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+        own, places, ids = own[ids >= 0], places[ids >= 0], ids[ids >= 0]
+        spans, sizes = np.ones(len(ids), np.int32), np.bincount(own, minlength=n)
+    else:
+        terms, kept, parts = {}, {}, []
+        for v in values:
+            part = None if f.repeated else kept.get(v)
+            if part is None:
+                at = {(t.term, t.pos): t.span for t in (analyzer.flat(v) if f.repeated else analyzer.tokens(v))}
+                part = [terms.setdefault(t, len(terms)) for t, _ in at], [p for _, p in at], list(at.values()), len({p for _, p in at})
+                if not f.repeated and len(v) <= SHORT:
+                    kept[v] = part
+            parts.append(part)
+        ids, places, spans = (np.array([x for p in parts for x in p[i]], np.int64) for i in range(3))
+        own, sizes = np.repeat(np.arange(n), [len(p[0]) for p in parts]), np.array([p[3] for p in parts])
+    if not len(ids):
         return
-    places: dict[str, dict[int, int]] = {}
-    for t in tokens:
-        places.setdefault(t.term, {})[t.pos] = t.span
-    size = len({t.pos for t in tokens})
-    for term, at in places.items():
-        yield key, row, term, None, list(at), list(at.values()), size, None, "post", f.path
-    yield key, row, None, None, None, None, size, None, "len", f.path
+    ordered = sorted(terms)
+    rank = np.empty(len(ordered), np.int64)
+    rank[[terms[t] for t in ordered]] = np.arange(len(ordered))
+    code = rank[ids] * n + own
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    offsets = pa.array(np.append(first, len(code)).astype(np.int32))
+    group, own = np.divmod(code[first], n)
+    lists = {name: pa.ListArray.from_arrays(offsets, pa.array(x[order].astype(np.int32))) for name, x in (("positions", places), ("spans", spans))}
+    yield put("post", own, term=pa.array(ordered, pa.string()).take(pa.array(group)), len=pa.array(sizes[own].astype(np.int32)), **lists)
+    some = np.flatnonzero(sizes)
+    yield put("len", some, len=pa.array(sizes[some].astype(np.int32)))
